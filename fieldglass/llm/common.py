@@ -73,6 +73,25 @@ def text_map(docs: DataFrame, kernel, schema: str, column: str = "text", limit:
     return docs.mapInArrow(run, schema)
 
 
+def deal(keyed: DataFrame, keys: list[str], unit, hot: int) -> DataFrame:
+    """keyed, dealt out so that each task holds whole groups, with columns `mine` and `block`.
+
+    A group is a key's rows; a key with over `hot` rows is cut into parts by a hash of `unit`, and every pair of
+    parts (low, high) is a group of its own: block is low << 24 | high, mine a row's part. Others have block 0.
+    """
+    over = cut(keyed.groupBy(*keys).count().where(F.col("count") > hot))
+    zero = F.lit(0).cast("long")
+    if over.isEmpty():
+        return keyed.withColumns({"mine": zero, "block": zero}).repartition(*keys)
+    many = F.coalesce(F.ceil(F.col("count") / (hot // 2)), F.lit(1)).cast("long")
+    pairs = F.transform(
+        F.sequence(zero, F.col("many") - 1),
+        lambda other: F.shiftleft(F.least("mine", other), 24).bitwiseOR(F.greatest("mine", other)),
+    )
+    parted = keyed.join(over, keys, "left").withColumn("many", many).withColumn("mine", F.pmod(F.xxhash64(unit), F.col("many")))
+    return parted.withColumn("block", F.explode(pairs)).drop("count", "many").repartition(*keys, "block")
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest index reachable from each of 0..n-1 over links a-b, all in memory."""
     root = np.arange(n)
@@ -105,6 +124,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
+    if star.isEmpty():
+        return star.select(F.col("a").alias("node"), F.col("b").alias("component"))
     seen = None
     for _ in range(rounds):
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldglass.llm import packing, token_files
+from fieldglass.llm import decontamination, langid, neighbours, packing, simhash, token_files, urls
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -20,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    rows = langid.sample(docs)
+    found = langid.predict(docs, langid.train(rows) if rows else None)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum-of-squares packing of all documents into sequences of 2048."""
@@ -32,3 +42,66 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), token_files.fresh_folder(spark)
     files = token_files.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.read(spark, files)
+
+
+@query
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of all embeddings."""
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash groups of all documents."""
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    digits = F.lower(F.hex("fp"))  # little-endian
+    number = F.concat(*[F.substring(digits, 2 * byte + 1, 2) for byte in range(7, -1, -1)])
+    return found.select("doc_id", number.alias("fingerprint"), "component_id")
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents."""
+    return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op8_decontamination"] = r"""
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), items AS (
+  SELECT DISTINCT id AS item_id, array_to_string(w[i:i + 9], ' ') AS gram, least(len(w), 10) AS n
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM words WHERE kind = 'b' AND len(w) > 0 AND id IS NOT NULL)
+), sizes AS (SELECT DISTINCT n FROM items), starts AS (
+  SELECT id AS doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, sizes WHERE kind = 'd' AND len(w) >= n)
+), hits AS (SELECT doc_id, i, starts.n, item_id FROM starts JOIN items ON starts.gram = items.gram AND starts.n = items.n),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hits GROUP BY doc_id)
+SELECT id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN covered ON id = covered.doc_id LEFT JOIN named ON id = named.doc_id WHERE kind = 'd'
+"""
+
+
+@query
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of all pages."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+SQL["op9_urls"] = r"""
+WITH parts AS (
+  SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id, url, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)?', 1) AS query FROM parts
+), rules(verdict, rule_host, rule_path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), fits AS (
+  SELECT DISTINCT host, path, first(rule_host || rule_path ORDER BY length(rule_host || rule_path) DESC) AS rule, first(verdict ORDER BY length(rule_host || rule_path) DESC) AS own
+  FROM (SELECT DISTINCT host, path FROM split) JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY host, path
+)
+SELECT page_id, host, path, rule, coalesce(own, 'allow') AS verdict FROM split LEFT JOIN fits USING (host, path)
+"""
