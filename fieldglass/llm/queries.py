@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm import decontamination, langid, neighbours, packing, simhash, token_files, urls
+from fieldglass.llm import decontamination, html, langid, neighbours, packing, pii, repeats, simhash, token_files, urls
+from fieldglass.llm.common import cut
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -21,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that repeat 50-byte strings of smaller ones, removed."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data: doc_id, text, n_entities."""
+    return pii.redact(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
+
+
 @query
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from the rows that are not held out."""
@@ -50,6 +63,13 @@ def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages, site templates removed."""
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, cut(html.templates(pages)))
+
+
 @query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents."""
