@@ -5,8 +5,9 @@ BUCKETS. Every bucket has a learned vector; a text is the mean of its buckets' v
 over that mean gives the languages' probabilities. Vectors and weights are both fitted by stochastic gradient
 descent on the driver, over a bounded sample: about PER_LANGUAGE documents for each of the LANGUAGES most
 frequent labels, chosen by a hash of doc_id. A fifth of the sample is kept from training and sets the
-temperature that makes the probabilities honest, the least score at which accepted texts are wrong at most
-RISK of the time, and the least share of n-grams that training had seen. Texts under either are rejected.
+temperature that makes the probabilities honest and shows what share of n-grams is usual to be known from
+training. A text is rejected if its calibrated probability is under CONFIDENCE, or if it knows less than KNOWN of
+the share that all but a hundredth of the sample do: another language or no language at all.
 
 For prediction vectors and weights are multiplied once, so a broadcast table (BUCKETS x languages) is all a
 task needs; the kernel takes every byte of every text.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from fieldglass.llm.common import text_map, utf8_view
 
 ORDERS, BUCKETS, DIMENSIONS = (3, 4), 1 << 18, 16
-PER_LANGUAGE, LANGUAGES, RISK = 400, 50, 0.005
+PER_LANGUAGE, LANGUAGES, CONFIDENCE, KNOWN = 400, 50, 0.4, 0.6
 EPOCHS, RATE, SEED = 4, 4.0, 11
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -148,14 +149,8 @@ def _calibrated(model: Model, texts: list[str], truth: np.ndarray) -> Model:
         if loss < best:
             best, fitted = loss, model.temperature
     model.temperature = fitted
-    p, known = model.scores(data, bounds)
-    score, right = p.max(1), p.argmax(1) == truth
-    order = np.argsort(-score, kind="stable")
-    risk = np.cumsum(~right[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(risk <= RISK)
-    # Accepting all of the sample means no text need be rejected for its score but one below chance.
-    model.least_score = float(score[order[good[-1]]]) if len(good) and good[-1] + 1 < len(order) else 1 / max(2, len(model.languages))
-    model.least_seen = float(0.8 * np.quantile(known, 0.01))
+    model.least_score = max(CONFIDENCE, 1 / len(model.languages)) if len(model.languages) > 1 else 0.0
+    model.least_seen = float(KNOWN * np.quantile(model.scores(data, bounds)[1], 0.01))
     return model
 
 
