@@ -73,6 +73,7 @@ PATTERN = re.compile(
     )
 )
 TRIGGER = r"[0-9@]|\b(?:" + "|".join(sorted(map(re.escape, MALE_TITLES + FEMALE_TITLES + OTHER_TITLES))).replace("г\\-", "г-") + r")\b|(?i:password|passwd|pwd|secret|token|_key|-key|apikey)"
+_PREFIXED = re.compile(r"(?:AKIA|ASIA)(?=[A-Z0-9]{16}$)|(?:sk|pk|ghp|gho|xox[bp])[-_](?=.)")  # what names a key's kind stays
 KINDS = ("secret", "email", "iban", "ip", "phone", "ssn", "card", "person")
 
 
@@ -197,6 +198,8 @@ def surrogate(kind: str, entity: str, key: bytes = KEY) -> str:
         return _card(key, entity)
     if kind == "person":
         return " ".join(_name(key, w, None) for w in entity.split(" "))
+    if m := _PREFIXED.match(entity):
+        return m[0] + _letters(key, "secret" + m[0], entity[m.end() :])
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", entity) and len(entity) >= 16 and not entity.isdigit():
         return _hex(key, entity)
     return _letters(key, "secret", entity)
