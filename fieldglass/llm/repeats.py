@@ -16,7 +16,7 @@ corpus, so a passage in a third of all documents reaches a group once per slice.
 
 Steps: (1) anchors, packed by bucket; (2) classes: covered places, and the contexts wanted; (3) those by
 document; (4) texts meet the wanted places and give contexts, packed by bucket; (5) suffix arrays; (6) texts
-(the same exchange again) meet all covered places. The class of a context is told by 96 bits of hashes.
+(the same exchange again) meet all covered places. The class of a context is told by over 90 bits of hashes.
 
 Texts are bytes; null texts are empty; texts shorter than LENGTH have no window; matches never cross documents;
 a document is no source for itself. Rows with a null doc_id take no part. Rows that share a doc_id count as one
@@ -213,34 +213,54 @@ SPAN = ("<i8", "<u4", "<u4")  # document, start, length
 WANTED = ("<i8", "<u8", "<u4", "u1", "u1")  # document, hash, pos, before, more
 
 
+def _planes(numbers: np.ndarray, width: int) -> np.ndarray:
+    """The low bytes of numbers, all first bytes first: what repeats lies together for the shuffle's compression."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+
+
+def _from_planes(blob: bytes, at: int, n: int, width: int) -> np.ndarray:
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T
+    return wide.view("<u8")[:, 0]
+
+
+#: Bytes of an anchor's hash (its bucket tells more of it), class, place among the documents, pos, before, more.
+_WIDTHS = (5, 6, 2, 4, 1, 1)
+
+
 def _anchor_blob(h: np.ndarray, c: np.ndarray, doc: np.ndarray, pos: np.ndarray, before: np.ndarray, more: np.ndarray) -> bytes:
-    """Twelve bytes of hashes and a few of place for each anchor; documents once each."""
+    """Eleven bytes of hashes and a few of place for each anchor; documents once each."""
     names, where = np.unique(doc, return_inverse=True)
-    h40 = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    c56 = c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
-    return pack(names.astype("<i8")) + pack(h40, c56, where.astype("<u2"), pos.astype("<u4"), before.astype("u1"), more.astype("u1"))
+    return pack(*_planes(names, 8)) + pack(*[p for x, w in zip((h, c, where, pos, before, more), _WIDTHS, strict=True) for p in _planes(x, w)])
 
 
-def _read_anchor_blobs(blobs: list[bytes], buckets: np.ndarray) -> list[np.ndarray]:
+def _read_anchor_blobs(blobs: list[bytes], buckets: list[int]) -> list[np.ndarray]:
     parts: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in ANCHOR]
-    for blob, bucket in zip(blobs, buckets.tolist(), strict=True):
+    for blob, bucket in zip(blobs, buckets, strict=True):
         many = int.from_bytes(blob[:4], "little")
-        names = np.frombuffer(blob, "<i8", many, 4)
+        names = _from_planes(blob, 4, many, 8).view("<i8")
         at = 4 + 8 * many
         n = int.from_bytes(blob[at : at + 4], "little")
         at += 4
-        wide = np.zeros((2, n, 8), np.uint8)
-        wide[0, :, :5] = np.frombuffer(blob, np.uint8, 5 * n, at).reshape(n, 5)
-        wide[1, :, :7] = np.frombuffer(blob, np.uint8, 7 * n, at + 5 * n).reshape(n, 7)
-        at += 12 * n
-        where = np.frombuffer(blob, "<u2", n, at)
-        numbers = wide.view("<u8")[:, :, 0]
-        columns = (numbers[0] | np.uint64(bucket << 40), numbers[1], names[where], np.frombuffer(blob, "<u4", n, at + 2 * n), np.frombuffer(blob, "u1", n, at + 6 * n), np.frombuffer(blob, "u1", n, at + 7 * n))
-        for part, column in zip(parts, columns, strict=True):
-            part.append(column)
+        columns = []
+        for width in _WIDTHS:
+            columns.append(_from_planes(blob, at, n, width))
+            at += n * width
+        columns[0] |= np.uint64(bucket << 40)
+        columns[2] = names[columns[2].astype(np.int64)]
+        for part, column, kind in zip(parts, columns, ANCHOR, strict=True):
+            part.append(column.astype(kind))
     return [np.concatenate(p) for p in parts]
 
 
+def _even_keys(docs: DataFrame, n: int) -> np.ndarray:
+    """A key for each of n partitions that a shuffle into n partitions sends there, so each gets one bucket."""
+    tried = docs.sparkSession.range(40 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p"))
+    found = {r.p: r.id for r in tried.groupBy("p").agg(F.min("id").alias("id")).collect()}
+    spare = iter(range(40 * n, 41 * n))
+    return np.array([found[p] if p in found else next(spare) for p in range(n)], np.int64)
+
+
 def _classes(h: np.ndarray, c: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
     """An order by hash, class, document, place; and in it: new group, new class, the class's smallest document."""
     order = np.lexsort((pos, doc, c, h))
@@ -259,7 +279,8 @@ def _emit(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two tables of covered places, doc and spans (packed start and length): by class, and by suffix arrays."""
-    n = 4 * partitions(docs.sparkSession)
+    n = partitions(docs.sparkSession)
+    keys = _even_keys(docs, n)
     text = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
 
     def find(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -273,11 +294,11 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             keep = doc == leader
             if not keep.all():
                 gone = ~keep
-                rows.append((int(doc[gone][0]) % n, 1, pack(doc[gone].astype("<i8"), (a["pos"] - a["before"])[gone].astype("<u4"), (a["more"] + LENGTH)[gone].astype("<u4"))))
+                rows.append((int(keys[int(doc[gone][0]) % n]), 1, pack(doc[gone].astype("<i8"), (a["pos"] - a["before"])[gone].astype("<u4"), (a["more"] + LENGTH)[gone].astype("<u4"))))
             a, doc = {k: v[keep] for k, v in a.items()}, doc[keep]
             for bucket, at in _by(((a["hash"] >> np.uint64(40)) % np.uint64(n)).astype(np.int64), n):
                 at = at[np.lexsort((a["pos"][at], doc[at]))]
-                rows.append((bucket, 0, _anchor_blob(*[a[k][at] for k in ("hash", "context")], doc[at], *[a[k][at] for k in ("pos", "before", "more")])))
+                rows.append((int(keys[bucket]), 0, _anchor_blob(*[a[k][at] for k in ("hash", "context")], doc[at], *[a[k][at] for k in ("pos", "before", "more")])))
         return _emit(rows, ["bucket", "kind", "blob"])
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +313,7 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     buckets.append(bucket)
         covered = [unpack(passed, *SPAN)]
         wanted = [np.zeros(0, k) for k in WANTED]
-        h, c, doc, pos, before, more = _read_anchor_blobs(blobs, np.asarray(buckets, np.int64))
+        h, c, doc, pos, before, more = _read_anchor_blobs(blobs, buckets)
         if len(h):
             order, group, _, leader = _classes(h, c, doc, pos)
             h, doc, pos, before, more = h[order], doc[order], pos[order].astype(np.int64), before[order], more[order]
@@ -303,7 +324,7 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             ask = several[number] & ~gone
             wanted = [doc[ask], h[ask], pos[ask].astype("<u4"), before[ask], more[ask]]
         covered = [np.concatenate(x) for x in zip(*covered, strict=True)]
-        yield from _by_part(covered, wanted, n)
+        yield from _by_part(covered, wanted, keys)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, asked = [], []
@@ -328,7 +349,7 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             h, doc, low = (np.asarray(x, k) for x, k in zip(columns[:3], ("<u8", "<i8", "<u4"), strict=True))
             sizes, rows = np.fromiter(map(len, columns[3]), "u1", len(columns[3])), []
             for bucket, at in _by((h % np.uint64(n)).astype(np.int64), n):
-                rows.append((bucket, pack(h[at], doc[at], low[at], sizes[at]) + b"".join([columns[3][i] for i in at.tolist()])))
+                rows.append((int(keys[bucket]), pack(h[at], doc[at], low[at], sizes[at]) + b"".join([columns[3][i] for i in at.tolist()])))
             yield _emit(rows, ["bucket", "blob"])
 
     def suffix_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +380,7 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             own = doc[some][text]
             gone = own > smallest
             covered.append([own[gone], (low[some][text] + shift)[gone].astype("<u4"), size[gone].astype("<u4")])
-        yield from _by_part([np.concatenate(x) for x in zip(*covered, strict=True)], [np.zeros(0, k) for k in WANTED], n)
+        yield from _by_part([np.concatenate(x) for x in zip(*covered, strict=True)], [np.zeros(0, k) for k in WANTED], keys)
 
     parted, by_doc = "part long, spans binary, wanted binary", "doc long, spans binary, wanted binary"
     filed = text_map(text, find, "bucket long, kind int, blob binary")
@@ -371,12 +392,12 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return first.select("doc", "spans"), second.select("doc", "spans")
 
 
-def _by_part(covered: list[np.ndarray], wanted: list[np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
-    rows: dict[int, list] = {}
+def _by_part(covered: list[np.ndarray], wanted: list[np.ndarray], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    n, rows = len(keys), {}
     for which, columns in enumerate((covered, wanted)):
         for part, at in _by(_part(columns[0], n), n):
             at = at[np.lexsort((columns[1][at], columns[0][at]))]
-            rows.setdefault(part, [part, None, None])[1 + which] = pack(*[c[at] for c in columns])
+            rows.setdefault(part, [int(keys[part]), None, None])[1 + which] = pack(*[c[at] for c in columns])
     yield _emit([tuple(r) for r in rows.values()], ["part", "spans", "wanted"])
 
 
