@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import text_slices
+from fieldglass.llm.common import cut, text_slices
 from fieldglass.llm.urls import host
 
 SHARE, LEAST, BROADCAST_ROWS = 0.2, 10, 200_000
@@ -229,6 +229,7 @@ def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> Dat
 
     named = pages.select(host(F.col("url")).alias("host"), "html")
     counts = named.mapInArrow(run, "host string, hash long").groupBy("host", "hash").count().where(F.col("hash").isNull() | (F.col("count") >= least))
+    counts = cut(counts)  # read twice below; a bounded list of each host
     sizes = counts.where("hash is null").select(F.col("host").alias("_host"), F.col("count").alias("_pages"))
     many = counts.where("hash is not null").join(sizes, F.col("host") == F.col("_host"))
     return many.where(F.col("count") >= F.col("_pages") * share).select("host", "hash")
