@@ -423,3 +423,25 @@ def test_urls(spark):
         1: ("x.example.com", "/en/1", "example.com/en/", "block"), 2: ("www.example.com", "/en/2", "www.example.com/en/", "allow"), 3: ("a.org", "/1", None, "block"), 4: ("b.org", "/", None, "block"), 5: ("c.org", "/", None, "allow"),
         6: ("", "", None, "allow"), 7: ("", "", None, "allow"), 8: ("ok.com", "/", "com/", "allow"), 9: ("net", "/es/", "net/es/", "block"), 10: ("d.org", "", None, "allow"), 11: ("notnet", "/es/", None, "allow"),
     }
+
+
+# Queries over the smallest tables against their SQL.
+@pytest.mark.parametrize("name", ["op1_repeats", "op5_vectors", "op8_decontamination", "op9_urls"])
+def test_query_equals_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from fieldglass.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    db = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    found = db.execute(queries.SQL[name])
+    columns = [c[0] for c in found.description]
+    order, want = sorted(columns), found.fetchall()
+    rows = queries.QUERIES[name](spark, data).collect()
+    assert sorted(repr(tuple(r[c] for c in order)) for r in rows) == sorted(repr(tuple(dict(zip(columns, r, strict=True))[c] for c in order)) for r in want)
