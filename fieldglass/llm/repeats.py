@@ -11,7 +11,8 @@ of its GRAM-byte strings is the anchor, so equal windows have equal anchors at e
 assigned to its anchor's group. An occurrence of an anchor needs only its context: the bytes of the windows
 assigned to it. Occurrences with the same anchor and the same context are one class, kept by its smallest
 document: all others are covered right away. Only where a group has several classes do their contexts travel,
-one each, and go through the suffix array. Classes are first formed inside a map task's own slice of the
+one each, and go through the suffix array. A group of over HOT classes (a common phrase) is split by what follows and
+precedes the anchor: its windows travel one by one, under their own hashes, so equal ones still meet. Classes are first formed inside a map task's own slice of the
 corpus, so a passage in a third of all documents reaches a group once per slice.
 
 Steps: (1) anchors, packed by bucket; (2) classes: covered places, and the contexts wanted; (3) those by
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ from fieldglass.llm.common import cut, partitions, text_map, utf8_view
 
 LENGTH, GRAM = 50, 20
 _WINDOW = LENGTH - GRAM + 1
+#: Classes of a group whose contexts meet in one task.
+HOT = 4096
 #: Contexts sorted at once: their suffixes' bytes take about 10 MB.
 AT_ONCE = 4000
 
@@ -210,7 +214,7 @@ def _part(doc: np.ndarray, n: int) -> np.ndarray:
 
 ANCHOR = ("<u8", "<u8", "<i8", "<u4", "u1", "u1")  # hash, class, document, pos, before, more
 SPAN = ("<i8", "<u4", "<u4")  # document, start, length
-WANTED = ("<i8", "<u8", "<u4", "u1", "u1")  # document, hash, pos, before, more
+WANTED = ("<i8", "<u8", "<u4", "u1", "u1", "u1")  # document, hash, pos, before, more, whether its group is hot
 
 
 def _planes(numbers: np.ndarray, width: int) -> np.ndarray:
@@ -279,7 +283,7 @@ def _emit(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two tables of covered places, doc and spans (packed start and length): by class, and by suffix arrays."""
-    n = partitions(docs.sparkSession)
+    n, most = partitions(docs.sparkSession), HOT
     keys = _even_keys(docs, n)
     text = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
 
@@ -322,7 +326,8 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             number, first = np.cumsum(group) - 1, np.flatnonzero(group)
             several = np.minimum.reduceat(leader, first) != np.maximum.reduceat(leader, first)
             ask = several[number] & ~gone
-            wanted = [doc[ask], h[ask], pos[ask].astype("<u4"), before[ask], more[ask]]
+            hot = np.bincount(number[ask], minlength=len(first)) > most
+            wanted = [doc[ask], h[ask], pos[ask].astype("<u4"), before[ask], more[ask], hot[number[ask]].astype("u1")]
         covered = [np.concatenate(x) for x in zip(*covered, strict=True)]
         yield from _by_part(covered, wanted, keys)
 
@@ -336,39 +341,55 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns: list[list] = [[], [], [], []]
+            windows: dict[bytes, list] = {}  # of hot groups: occurrences (document, start)
             for doc, page, blob in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
                 if not blob or not page:
                     continue
                 raw = page.encode()
-                _, h, pos, before, more = unpack([blob], *WANTED)
-                low = pos.astype(np.int64) - before
-                columns[0] += h.tolist()
-                columns[1] += [doc] * len(h)
-                columns[2] += low.tolist()
-                columns[3] += [raw[a:z] for a, z in zip(low.tolist(), (low + more + LENGTH).tolist(), strict=True)]
+                _, h, pos, before, more, hot = unpack([blob], *WANTED)
+                low, plain = pos.astype(np.int64) - before, hot == 0
+                columns[0] += h[plain].tolist()
+                columns[1] += [doc] * int(plain.sum())
+                columns[2] += low[plain].tolist()
+                columns[3] += [raw[a:z] for a, z in zip(low[plain].tolist(), (low + more + LENGTH)[plain].tolist(), strict=True)]
+                for a, n_more in zip(low[~plain].tolist(), more[~plain].tolist(), strict=True):
+                    for start in range(a, a + n_more + 1):
+                        windows.setdefault(raw[start : start + LENGTH], []).append((doc, start))
+            gone: list[tuple[int, int]] = []
+            for window, places in windows.items():  # the smallest document of this batch speaks for the others
+                smallest = min(places)[0]
+                gone += [x for x in places if x[0] != smallest]
+                for doc, start in (x for x in places if x[0] == smallest):
+                    for column, item in zip(columns, (xxhash.xxh64_intdigest(window), doc, start, window), strict=True):
+                        column.append(item)
             h, doc, low = (np.asarray(x, k) for x, k in zip(columns[:3], ("<u8", "<i8", "<u4"), strict=True))
             sizes, rows = np.fromiter(map(len, columns[3]), "u1", len(columns[3])), []
             for bucket, at in _by((h % np.uint64(n)).astype(np.int64), n):
-                rows.append((int(keys[bucket]), pack(h[at], doc[at], low[at], sizes[at]) + b"".join([columns[3][i] for i in at.tolist()])))
-            yield _emit(rows, ["bucket", "blob"])
+                rows.append((int(keys[bucket]), 0, pack(h[at], doc[at], low[at], sizes[at]) + b"".join([columns[3][i] for i in at.tolist()])))
+            if gone:
+                where = np.asarray(gone, np.int64)
+                rows.append((int(keys[where[0, 0] % n]), 1, pack(where[:, 0].astype("<i8"), where[:, 1].astype("<u4"), np.full(len(gone), LENGTH, "<u4"))))
+            yield _emit(rows, ["bucket", "kind", "blob"])
 
     def suffix_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns, texts = [[], [], []], []
+        columns, texts, passed = [[], [], []], [], []
         for b in batches:
-            for blob in b.column("blob").to_pylist():
+            for kind, blob in zip(b.column("kind").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                if kind:
+                    passed.append(blob)
+                    continue
                 h, doc, low, sizes = unpack([blob], "<u8", "<i8", "<u4", "u1")
                 for c, x in zip(columns, (h, doc, low), strict=True):
                     c.append(x)
                 at = len(blob) - int(sizes.sum(dtype=np.int64))
                 ends = at + np.cumsum(sizes, dtype=np.int64)
                 texts += [blob[z - s : z] for z, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
-        if not texts:
-            return
-        h, doc, low = (np.concatenate(c) for c in columns)
+        covered = [unpack(passed, *SPAN)]
+        h, doc, low = (np.concatenate([np.zeros(0, k), *c]) for c, k in zip(columns, ("<u8", "<i8", "<u4"), strict=True))
         low = low.astype(np.int64)
         order = np.lexsort((low, doc, h))
         edges = np.append(np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0])), len(order))
-        covered, a = [[np.zeros(0, k) for k in SPAN]], 0
+        a = 0
         while a < len(order):  # whole groups, about AT_ONCE contexts at a time
             z = max(int(edges[np.searchsorted(edges, a + AT_ONCE, side="right") - 1]), int(edges[np.searchsorted(edges, a, side="right")]))
             some = order[a:z]
@@ -387,7 +408,7 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = filed.repartition("bucket").mapInArrow(classify, parted)
     first = cut(classes.repartition("part").mapInArrow(gather, by_doc))
     asked = text.join(first.select(F.col("doc").alias("_doc"), "wanted"), F.col("doc") == F.col("_doc"), "left").select("doc", "text", "wanted")
-    contexts = asked.mapInArrow(context, "bucket long, blob binary")
+    contexts = asked.mapInArrow(context, "bucket long, kind int, blob binary")
     second = contexts.repartition("bucket").mapInArrow(suffix_arrays, parted).repartition("part").mapInArrow(gather, by_doc)
     return first.select("doc", "spans"), second.select("doc", "spans")
 

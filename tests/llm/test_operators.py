@@ -152,7 +152,9 @@ def test_maximal_repeats_cover_what_brute_force_covers():
             assert every == set(zip(text[at].tolist(), start[at].tolist(), strict=True))
 
 
-def test_repeats_are_removed(spark):
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_repeats_are_removed(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
     rng = random.Random(5)
     passages = [words_of(rng, 60) for _ in range(5)]
     texts = {}
