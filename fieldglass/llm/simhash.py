@@ -16,10 +16,12 @@ A bucket of over HOT rows is cut into blocks of rows; every pair of blocks is it
 whole hot bucket. Inside a group only links of a spanning forest leave the task, found by a breadth-first
 search that compares each newly reached fingerprint with those not reached yet.
 
-With `similarity` a link must also hold between the shingle sets themselves: each class carries a sketch (the least
+With `similar` a link must also hold between the shingle sets themselves: each class carries a sketch (the least
 hash of each of BINS parts of the hash range, one byte of it), whose equal share of filled parts estimates the
-Jaccard similarity within about 0.02. Then a task returns each fingerprint's nearest mate of its bucket, and the
-pairs, which differ from band to band, are verified before components are formed.
+Jaccard similarity within about 0.01. The links of fingerprints then only part the classes into families, which
+every link lies within. A family meets with its sketches in one task, and the search compares both fingerprints and
+sketches before a row counts as reached, so a mate that fails takes no row out of the search. A family of over HOT
+rows is filed under its bit samples once more, sketches included, and searched bucket by bucket.
 
 Defined results: a text that is null or has no words has fingerprint zero and links like any other; fewer words
 than a shingle are one shingle; repeats count; rows with a null doc_id get a fingerprint and no component;
@@ -41,8 +43,9 @@ from fieldglass.llm.common import components, cut, deal, local_roots, text_map
 
 #: Rows of one bucket that a task takes whole.
 HOT = 4096
-#: Parts of a sketch, and how much lower than asked an estimate may be.
-BINS, SLACK = 512, 0.01
+#: Parts of a sketch, and how much lower than asked an estimate may be. A family's search sees many pairs below the
+#: threshold, so estimates have to be close: texts of a few hundred words have almost a part for each shingle.
+BINS, SLACK = 2048, 0.01
 #: Longest run of a bucket handled by shifted comparison rather than by search.
 SHORT = 24
 
@@ -83,21 +86,27 @@ def fold(h: np.ndarray, blocks: int = 1) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """BINS bytes of least hashes, then BINS bits that tell which parts have any."""
+    """BINS bits that tell which parts have a hash, then a byte of 1 to 255 of the least hash of each such part."""
     mixed = np.sort(_mixed(h, 101))
-    part, first = np.unique(mixed >> np.uint64(55), return_index=True)
-    low, filled = np.zeros(BINS, np.uint8), np.zeros(BINS, bool)
-    low[part.astype(np.int64)] = (mixed[first] & np.uint64(255)).astype(np.uint8)
+    part, first = np.unique(mixed >> np.uint64(53), return_index=True)
+    filled = np.zeros(BINS, bool)
     filled[part.astype(np.int64)] = True
-    return low.tobytes() + np.packbits(filled).tobytes()
+    return np.packbits(filled).tobytes() + (mixed[first] % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
+
+
+def opened(sketches: list[bytes]) -> np.ndarray:
+    """A row of BINS bytes for each sketch, 0 for empty parts."""
+    out, head = np.zeros((len(sketches), BINS), np.uint8), BINS // 8
+    filled = np.unpackbits(np.frombuffer(b"".join(s[:head] for s in sketches), np.uint8).reshape(-1, head), axis=1).astype(bool)
+    out[filled] = np.frombuffer(b"".join(s[head:] for s in sketches), np.uint8)
+    return out
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of rows of sketches (uint8 matrices)."""
-    one, two = (np.unpackbits(x[:, BINS:], axis=1).astype(bool) for x in (a, b))
-    either = (one | two).sum(1)
-    same = (one & two & (a[:, :BINS] == b[:, :BINS])).sum(1)
-    return np.where(either > 0, (same / np.maximum(either, 1) - 1 / 256) * 256 / 255, 1.0)
+    """Estimated Jaccard similarity of rows of opened sketches."""
+    either = np.count_nonzero(a | b, axis=1)
+    same = np.count_nonzero((a == b) & (a != 0), axis=1)
+    return np.where(either > 0, (same / np.maximum(either, 1) - 1 / 255) * 255 / 254, 1.0)
 
 
 def fingerprints(docs: DataFrame, k: int = 3, blocks: int = 1, sketched: bool = False) -> DataFrame:
@@ -162,28 +171,24 @@ class Chain:
         return ok  # the last length holds all bits
 
 
-def bucket_links(keys: np.ndarray, starts: np.ndarray, fps: np.ndarray, chain: Chain, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(keys: np.ndarray, starts: np.ndarray, fps: np.ndarray, chain: Chain, alike=None) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (row, root row) among rows of equal key; the arrays are sorted by key.
 
-    nearest: instead, each row with its nearest earlier one in a short run, or nearest reached one in a long run.
+    alike: a further condition on links, from two arrays of rows to an array of truth values.
     """
     n = len(keys)
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if n else np.zeros(1, np.int64)
     size = np.diff(edge)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     run = np.repeat(size, size)
-    mate, gap = np.full(n, -1), np.full(n, np.iinfo(np.int64).max)
     for shift in range(1, int(min(SHORT, size.max(initial=0)))):
         a = np.flatnonzero((run[:-shift] <= SHORT) & (keys[shift:] == keys[:-shift])) if n > shift else np.zeros(0, np.int64)
         if len(a):
             a = a[chain.linked(fps[a], fps[a + shift], starts[a])]
-            if nearest:
-                far = _distance(fps[a], fps[a + shift])
-                closer = far < gap[a + shift]
-                mate[a[closer] + shift], gap[a[closer] + shift] = a[closer], far[closer]
-            else:
-                left.append(a)
-                right.append(a + shift)
+            if alike is not None:
+                a = a[alike(a, a + shift)]
+            left.append(a)
+            right.append(a + shift)
     for k in np.flatnonzero(size > SHORT):
         rest, start = np.arange(edge[k], edge[k + 1]), int(starts[edge[k]])
         front = np.zeros(0, np.int64)
@@ -199,30 +204,22 @@ def bucket_links(keys: np.ndarray, starts: np.ndarray, fps: np.ndarray, chain: C
                     break
                 some = front[at : at + step]
                 ok = chain.linked(fps[some][:, None], fps[rest[open_]][None], start)
+                if alike is not None:
+                    i, j = np.nonzero(ok)
+                    ok[i, j] = alike(some[i], rest[open_[j]])
                 hit = ok.any(0)
-                if nearest:
-                    far = np.where(ok[:, hit], _distance(fps[some][:, None], fps[rest[open_[hit]]][None]), np.iinfo(np.int64).max)
-                    near[open_[hit]] = some[far.argmin(0)]
-                else:
-                    near[open_[hit]] = some[ok[:, hit].argmax(0)]
+                near[open_[hit]] = some[ok[:, hit].argmax(0)]
             got = near >= 0
             left.append(near[got])
             right.append(rest[got])
             front, rest = rest[got], rest[~got]
-    a, b = np.concatenate(left), np.concatenate(right)
-    if nearest:
-        said = np.flatnonzero(mate >= 0)
-        return np.concatenate([said, b]), np.concatenate([mate[said], a])
-    root = local_roots(n, a, b)
+    root = local_roots(n, np.concatenate(left), np.concatenate(right))
     moved = np.flatnonzero(root != np.arange(n))
     return moved, root[moved]
 
 
-def links(classes: DataFrame, bits: int, tau: int, m: int, bands: tuple[int, int] | None = None, nearest: bool = False) -> DataFrame:
-    """Spanning links (a, b: doc ids) of the classes (`doc`, `fp`) within tau bits; bands: (width, many)."""
-    places = _samples(bits, *bands) if bands else _segments(bits, m)
-    chain = Chain(bits, tau, m, bool(bands))
-    words = bits // 64
+def _filed(classes: DataFrame, places: list[np.ndarray], bits: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """key, doc, fp and `more` columns: each class under the value of each of the places."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -230,42 +227,86 @@ def links(classes: DataFrame, bits: int, tau: int, m: int, bands: tuple[int, int
                 batch = whole.slice(at, 4096)
                 raw = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(batch.num_rows, bits // 8)
                 flat = np.unpackbits(raw, axis=1, bitorder="little")
+                names = ["doc", "fp", *more]
                 for i, p in enumerate(places):
                     value = flat[:, p].astype(np.int64) @ (np.int64(1) << np.arange(len(p), dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array((np.int64(i) << 48) | value), batch.column("doc"), batch.column("fp")], names=["key", "doc", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array((np.int64(i) << 48) | value), *map(batch.column, names)], names=["key", *names])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, blocks, docs, fps = [], [], [], []
-        for b in batches:
-            keys.append(b.column("key").to_numpy())
-            blocks.append(b.column("block").to_numpy())
-            docs.append(b.column("doc").to_numpy())
-            fps.append(np.frombuffer(b"".join(b.column("fp").to_pylist()), "<u8").reshape(-1, words))
-        if not keys:
-            return
-        key, block, doc, fp = (np.concatenate(x) for x in (keys, blocks, docs, fps))
-        order = np.lexsort((doc, block, key))
-        key, block, doc, fp = key[order], block[order], doc[order], fp[order]
-        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
-        a, b = bucket_links(group, key >> 48, fp, chain, nearest)
-        for at in range(0, len(a), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[a[at : at + 50_000]]), pa.array(doc[b[at : at + 50_000]])], names=["a", "b"])
-
-    keyed = classes.mapInArrow(file, "key long, doc long, fp binary")
-    dealt = deal(keyed, ["key"], F.col("doc"), HOT).select("key", "block", "doc", "fp")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    types = {"doc": "long", "fp": "binary", "sketch": "binary", "family": "long"}
+    return classes.mapInArrow(file, "key long, " + ", ".join(f"{c} {types[c]}" for c in ("doc", "fp", *more)))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """pairs (a, b) whose sketches are similar enough."""
+def _compared(dealt: DataFrame, words: int, chain: Chain, least: float | None = None) -> DataFrame:
+    """Spanning links (a, b: doc ids) of each (key, block); least: of similarity, from the column `sketch`."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sa", "sb"))
-            yield b.select(["a", "b"]).filter(pa.array(similarity(one, two) >= least - SLACK))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            key, block, doc = (rows.column(c).to_numpy() for c in ("key", "block", "doc"))
+            fp = np.frombuffer(b"".join(rows.column("fp").to_pylist()), "<u8").reshape(-1, words)
+            order = np.lexsort((doc, block, key))
+            key, block, doc, fp = key[order], block[order], doc[order], fp[order]
+            alike = None
+            if least is not None:
+                sketches = opened(rows.column("sketch").to_pylist())[order]
+
+                def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                    out = np.zeros(len(a), bool)
+                    for at in range(0, len(a), 4096):
+                        some = slice(at, at + 4096)
+                        out[some] = similarity(sketches[a[some]], sketches[b[some]]) >= least - SLACK
+                    return out
+
+            group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
+            a, b = bucket_links(group, key >> 48, fp, chain, alike)
+            for at in range(0, len(a), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[a[at : at + 50_000]]), pa.array(doc[b[at : at + 50_000]])], names=["a", "b"])
+
+        many = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if least is not None and many >= 4 * HOT:  # rows come in order of group: all but the last are whole
+                rows = pa.Table.from_batches(held)
+                key, block = rows.column("key").to_numpy(), rows.column("block").to_numpy()
+                last = np.flatnonzero((key != key[-1]) | (block != block[-1]))
+                if len(last):
+                    whole = int(last[-1]) + 1
+                    yield from flush(rows.slice(0, whole))
+                    held = rows.slice(whole).to_batches()
+                    many = len(rows) - whole
+            held.append(batch)
+            many += batch.num_rows
+        if many:
+            yield from flush(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
 
-    side = lambda key, name: classes.select(F.col("doc").alias(key), F.col("sketch").alias(name))
-    return pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+def links(classes: DataFrame, bits: int, tau: int, m: int, bands: tuple[int, int] | None = None) -> DataFrame:
+    """Spanning links (a, b: doc ids) of the classes (`doc`, `fp`) within tau bits; bands: (width, many)."""
+    places = _samples(bits, *bands) if bands else _segments(bits, m)
+    keyed = _filed(classes, places, bits)
+    dealt = deal(keyed, ["key"], F.col("doc"), HOT).select("key", "block", "doc", "fp")
+    return _compared(dealt, bits // 64, Chain(bits, tau, m, bool(bands)))
+
+
+def similar_links(found: DataFrame, classes: DataFrame, bits: int, tau: int, m: int, bands: tuple[int, int], least: float) -> DataFrame:
+    """Spanning links within tau bits and of similarity `least` inside the families that the links `found` form."""
+    families = components(found)
+    members = cut(classes.join(families, classes["doc"] == families["node"]).select(F.col("component").alias("family"), "doc", "fp", "sketch"))
+    over = cut(members.groupBy("family").count().where(F.col("count") > HOT).select("family"))
+    columns = ["key", "block", "doc", "fp", "sketch"]
+    dealt = members.join(over, "family", "left_anti").select(F.col("family").alias("key"), F.lit(0).cast("long").alias("block"), "doc", "fp", "sketch").repartition("key")
+    dealt = dealt.sortWithinPartitions("key", "block")
+    proven = _compared(dealt, bits // 64, Chain(bits, tau, m, True), least)
+    if over.isEmpty():
+        return proven
+    large = _filed(members.join(over, "family", "left_semi").select("doc", "fp", "sketch", "family"), _samples(bits, *bands), bits, ("sketch", "family"))
+    keyed = large.withColumn("key", F.xxhash64("family", "key")).drop("family")
+    dealt = deal(keyed, ["key"], F.col("doc"), HOT).select(*columns).sortWithinPartitions("key", "block")
+    return proven.unionByName(_compared(dealt, bits // 64, Chain(bits, tau, m, True), least)).distinct()
 
 
 def groups(docs: DataFrame, k: int = 3, blocks: int = 1, tau: int = 2, m: int = 3, recall: float | None = None, reach: int | None = None, similar: float | None = None) -> DataFrame:
@@ -287,9 +328,9 @@ def groups(docs: DataFrame, k: int = 3, blocks: int = 1, tau: int = 2, m: int =
         bands = (width, math.ceil(math.log(1 - recall) / math.log(1 - alike)))
     elif tau >= m:
         raise ValueError("tau must be below m unless a recall is given")
-    found = links(classes.select("doc", "fp"), bits, tau, m, bands, similar is not None)
+    found = links(classes.select("doc", "fp"), bits, tau, m, bands)
     if similar is not None:
-        found = verified(found, classes, similar)
+        found = similar_links(found, classes, bits, tau, m, bands, similar)
     joined = components(found)
     named = classes.join(joined, classes.doc == joined.node, "left").select("fp", F.coalesce("component", "doc").alias("component_id"))
     return prints.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -238,6 +238,23 @@ def test_near_copies_of_five_word_shingles(spark):
     assert set(range(30)) <= kept and len(kept) <= 33
 
 
+@pytest.mark.parametrize("hot", [4096, 200])
+def test_a_failed_mate_hides_no_link(spark, monkeypatch, hot):
+    # A template's family, 0.72 alike, with pairs of 0.86 hidden in it.
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rng = random.Random(14)
+    texts = []
+    for f in range(400):
+        own = [f"t{i}" for i in range(500)] + [f"f{f}x{j}" for j in range(100)]
+        texts += [" ".join(own), " ".join([*own[:-42], *(f"p{f}y{j}" for j in range(42))])]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    rows = {r.doc_id: r.component_id for r in simhash.groups(frame(spark, [texts[k] for k in order]), **simhash.NEAR).collect()}
+    place = {k: i for i, k in enumerate(order)}
+    found = sum(rows[place[2 * f]] == rows[place[2 * f + 1]] for f in range(400))
+    assert found >= 360 and len(set(rows.values())) == len(texts) - found
+
+
 def test_vectors(spark, monkeypatch):
     rng = np.random.default_rng(9)
     base = rng.normal(size=(60, 16))
