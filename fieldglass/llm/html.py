@@ -9,7 +9,8 @@ can pass, so the list that meets a host's pages is bounded whatever their number
 What markup itself declares to be no content goes too: menus, headers, footers, sidebars, forms, scripts and the
 like by tag, notices, adverts, reader comments and others by role, class or id (NAMES). If the page has articles
 (or a main element), only they are read, and paragraphs of prose in them are never taken for templates: copied
-articles recur, and are content. Lists of links in them are no prose.
+articles recur, and are content. Lists of links in them are no prose. An element that holds an article is never a
+template; its children may be.
 
 Text of a block is one line: character references decoded, white space runs one space, trimmed; empty blocks are
 left out. Null and empty html give an empty text. A page without a host shares the host "". Repeated rows are
@@ -74,12 +75,12 @@ _BLANK = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "dropped", "main", "label", "parts", "hash", "letters", "linked")
+    __slots__ = ("tag", "parent", "dropped", "main", "label", "parts", "hash", "letters", "linked", "holds")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag, self.parent, self.main = tag, parent, tag in ("article", "main")
         self.dropped = tag in DROPPED
-        self.label, self.parts, self.hash, self.letters, self.linked = "", [], None, 0, 0
+        self.label, self.parts, self.hash, self.letters, self.linked, self.holds = "", [], None, 0, 0, False
         if attributes and "=" in attributes or "hidden" in attributes:
             for name, *values in _NAMED.findall(attributes):
                 name, value = name.lower(), "".join(values)
@@ -164,7 +165,10 @@ def _outline(elements: list[Element], flow: list[tuple[Element, str | None]]) ->
         element.hash = xxhash.xxh64_intdigest("\x00".join([element.tag, element.label, *element.parts])) - (1 << 63)
         if element.tag == "a":
             element.linked = element.letters
-        if (up := element.parent) is not None and (element.letters or element.tag in ("img", "input", "button")):
+        element.holds |= element.main
+        if (up := element.parent) is not None and element.holds:
+            up.holds = True
+        if up is not None and (element.letters or element.tag in ("img", "input", "button")):
             up.parts.insert(0, f"\x01{element.hash}")
             up.letters += element.letters
             up.linked += element.linked
@@ -177,7 +181,7 @@ def _settle(elements: list[Element], templates: frozenset[int] | set[int] | None
     for e in elements:
         inside, dropped = state[e.parent] if e.parent is not None else (False, False)
         inside = inside or (e.main and not dropped and not e.dropped)
-        if templates and not dropped and e.hash in templates and e.tag in BLOCK and not (inside and 2 * e.linked < e.letters):
+        if templates and not dropped and e.hash in templates and e.tag in BLOCK and not e.holds and not (inside and 2 * e.linked < e.letters):
             dropped = True
         state[e] = inside, dropped or e.dropped
         some |= inside
@@ -191,7 +195,7 @@ def subtree_hashes(page: str | None) -> set[int]:
     elements, flow = parse(page)
     _outline(elements, flow)
     _, state = _settle(elements)
-    return {e.hash for e in elements if e.tag in BLOCK and e.letters and e.tag not in ("html", "body") and not (state[e][0] and 2 * e.linked < e.letters)}
+    return {e.hash for e in elements if e.tag in BLOCK and e.letters and not e.holds and e.tag not in ("html", "body") and not (state[e][0] and 2 * e.linked < e.letters)}
 
 
 def main_text(page: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:

@@ -430,6 +430,19 @@ def test_templates_go_and_articles_stay(spark):
     assert entities.unescape("&copy;") == "©"
 
 
+def extracted(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    return {r.page_id: r.text for r in html.extract(df, html.templates(df)).collect()}
+
+
+def test_wrappers_of_copied_articles_stay(spark):
+    copied = "<div id=wrap><p>Site notice on every page, dear reader.</p><article><h1>Title</h1><p>A whole article that was copied many times over.</p></article></div>"
+    rows = [(i, f"http://a.com/{i}", page(copied if i < 20 else f"<div id=wrap><article><p>own text number {i} of this host</p></article></div>")) for i in range(40)]
+    found = extracted(spark, rows)
+    assert all(found[i] == "Title\nA whole article that was copied many times over." for i in range(20))
+    assert all(found[i] == f"own text number {i} of this host" for i in range(20, 40))
+
+
 # Urls.
 def test_urls(spark):
     link = lambda to: f'<link rel="canonical" href="{to}">'
