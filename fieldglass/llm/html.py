@@ -1,16 +1,17 @@
 """Main text of web pages, with site templates removed.
 
-A page is read into a tree of elements. Every block element outside the article's own prose gets a hash of its
-subtree (tag, class, id, text and children); each page counts a hash once, Spark counts pages per host and hash,
-and a hash that recurs on at least SHARE of a host's pages, and on at least LEAST of them, is a template of that
-host: its subtrees are deleted wherever they stand there. At most (subtrees per page) / SHARE hashes of a host
-can pass, so the list that meets a host's pages is bounded whatever their number.
+A page is read into a tree of elements. Every block element that would be output gets a hash of its subtree (tag,
+class, id, text and children) and a context, a min-hash of the page's other output. Copies of a page repeat a block in
+one context, near copies in few besides a leading one; a site's template repeats it in ever new ones. So Spark counts
+contexts per host and hash, and a block is a template of its host if it stands in LEAST contexts (on a small host: in
+FEW that make half of its pages) and these are at least half as many as the pages of its commonest context. A block of
+under SHORT letters, such as a table's cell, must stand in SHARE of the host's pages in that sense; a block of mostly
+links goes too if it is on that share of the pages in any context. Templates are deleted wherever they stand on the host, but never an
+element that holds an article or main element: only its recurring children are.
 
 What markup itself declares to be no content goes too: menus, headers, footers, sidebars, forms, scripts and the
 like by tag, notices, adverts, reader comments and others by role, class or id (NAMES). If the page has articles
-(or a main element), only they are read, and paragraphs of prose in them are never taken for templates: copied
-articles recur, and are content. Lists of links in them are no prose. An element that holds an article is never a
-template; its children may be.
+(or a main element), only they are read.
 
 Text of a block is one line: character references decoded, white space runs one space, trimmed; empty blocks are
 left out. Null and empty html give an empty text. A page without a host shares the host "". Repeated rows are
@@ -22,8 +23,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,7 +35,9 @@ from pyspark.sql import functions as F
 from fieldglass.llm.common import cut, text_slices
 from fieldglass.llm.urls import host
 
-SHARE, LEAST, BROADCAST_ROWS = 0.2, 10, 200_000
+SHARE, LEAST, FEW, SHORT, BROADCAST_ROWS = 0.2, 10, 3, 25, 200_000
+SHINGLE = 2  # words; near copies of short pages then share most
+FEW_WORDS = 8  # so short a context is compared whole
 
 # Element names of HTML.
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
@@ -181,21 +186,56 @@ def _settle(elements: list[Element], templates: frozenset[int] | set[int] | None
     for e in elements:
         inside, dropped = state[e.parent] if e.parent is not None else (False, False)
         inside = inside or (e.main and not dropped and not e.dropped)
-        if templates and not dropped and e.hash in templates and e.tag in BLOCK and not e.holds and not (inside and 2 * e.linked < e.letters):
+        if templates and not dropped and e.hash in templates and e.tag in BLOCK and not e.holds:
             dropped = True
         state[e] = inside, dropped or e.dropped
         some |= inside
     return some, state
 
 
-def subtree_hashes(page: str | None) -> set[int]:
-    """Hashes of the page's block subtrees that could be templates: no prose of its articles."""
+def _least(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Least shingle hash of those that begin up to each word, and from each word on."""
+    code = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
+    n = len(words) - SHINGLE + 1
+    h = np.zeros(max(n, 0), np.uint64)
+    for k in range(SHINGLE if n > 0 else 0):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + code[k : k + n] + np.uint64(1)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return np.minimum.accumulate(h), np.minimum.accumulate(h[::-1])[::-1]
+
+
+def subtree_contexts(page: str | None) -> dict[int, tuple[int, int]]:
+    """Hashes of the page's block subtrees that could be templates, with (kind, context): 1 for short, 2 for links."""
     if not page:
-        return set()
+        return {}
     elements, flow = parse(page)
     _outline(elements, flow)
-    _, state = _settle(elements)
-    return {e.hash for e in elements if e.tag in BLOCK and e.letters and not e.holds and e.tag not in ("html", "body") and not (state[e][0] and 2 * e.linked < e.letters)}
+    some, state = _settle(elements)
+    words: list[str] = []
+    spans: dict[Element, tuple[int, int]] = {}
+    for element, piece in flow:
+        if piece is None:
+            continue
+        inside, dropped = state[element]
+        if not dropped and (inside or not some) and (said := piece.split()):
+            a = spans[element][0] if element in spans else len(words)
+            words += said
+            spans[element] = a, len(words)
+    for element in reversed(elements):
+        if element in spans and (up := element.parent) is not None:
+            (a, z), (b, y) = spans[element], spans.get(up, spans[element])
+            spans[up] = min(a, b), max(z, y)
+    before, after = _least(words)
+    out: dict[int, tuple[int, int]] = {}
+    for e in elements:
+        if e in spans and e.tag in BLOCK and e.letters and not e.holds and not state[e][1] and e.tag not in ("html", "body") and e.hash not in out:
+            a, z = spans[e]
+            rest = [int(x[i]) for x, i in ((before, a - SHINGLE), (after, z)) if 0 <= i < len(x)]
+            context = min(rest) if rest and len(words) - z + a > FEW_WORDS else xxhash.xxh64_intdigest(" ".join(words[:a] + words[z:]).encode("utf-8", "replace"))
+            out[e.hash] = (e.letters < SHORT) + 2 * (2 * e.linked >= e.letters), context - (1 << 63)
+    return out
 
 
 def main_text(page: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
@@ -219,24 +259,30 @@ def main_text(page: str | None, templates: frozenset[int] | set[int] = frozenset
 
 
 def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """host, hash of the subtrees that recur on many pages of a host."""
+    """host, hash of the subtrees that recur in many contexts of a host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "html", 8 << 20):
-                hosts, hashes = [], []
+                rows: list[tuple] = []
                 for name, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                    found = subtree_hashes(page)
-                    hosts += [name] * (len(found) + 1)
-                    hashes += [None, *found]  # null counts the page
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
+                    rows.append((name, None, 0, 0))  # counts the page
+                    rows += [(name, h, kind, context) for h, (kind, context) in subtree_contexts(page).items()]
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+                types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "hash", "kind", "context"])
 
     named = pages.select(host(F.col("url")).alias("host"), "html")
-    counts = named.mapInArrow(run, "host string, hash long").groupBy("host", "hash").count().where(F.col("hash").isNull() | (F.col("count") >= least))
-    counts = cut(counts)  # read twice below; a bounded list of each host
-    sizes = counts.where("hash is null").select(F.col("host").alias("_host"), F.col("count").alias("_pages"))
+    each = named.mapInArrow(run, "host string, hash long, kind long, context long").groupBy("host", "hash", "kind", "context").count()
+    counts = each.groupBy("host", "hash", "kind").agg(F.sum("count").alias("pages"), F.count("*").alias("contexts"), F.max("count").alias("top"))
+    counts = cut(counts.where(F.col("hash").isNull() | (F.col("contexts") >= FEW) | (F.col("pages") >= least)))  # read twice below
+    sizes = counts.where("hash is null").select(F.col("host").alias("_host"), F.col("pages").alias("_pages"))
     many = counts.where("hash is not null").join(sizes, F.col("host") == F.col("_host"))
-    return many.where(F.col("count") >= F.col("_pages") * share).select("host", "hash")
+    short, linked = F.col("kind").bitwiseAND(1) == 1, F.col("kind").bitwiseAND(2) == 2
+    enough = (F.col("contexts") >= least) | ((F.col("contexts") >= FEW) & (2 * F.col("contexts") >= F.col("_pages")))
+    varied = enough & (2 * F.col("contexts") >= F.col("top")) & (~short | (F.col("contexts") >= F.col("_pages") * share))
+    lists = linked & (F.col("pages") >= least) & (F.col("pages") >= F.col("_pages") * share)
+    return many.where(varied | lists).select("host", "hash").distinct()
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

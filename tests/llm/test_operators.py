@@ -443,6 +443,26 @@ def test_wrappers_of_copied_articles_stay(spark):
     assert all(found[i] == f"own text number {i} of this host" for i in range(20, 40))
 
 
+def test_templates_inside_articles_go(spark):
+    rng = random.Random(15)
+    notice = "<p>Support this site: read on for one dollar a week.</p>"
+    prose = [f"<p>{' '.join(f'w{rng.randrange(9000)}' for _ in range(60))}</p>" for _ in range(200)]
+    family = prose[0][3:-4].split()
+    near = []
+    for i in range(60):  # near copies of one article, a word changed in each
+        some = list(family)
+        some[rng.randrange(20)] = f"n{i}"
+        near.append(f"<p>{' '.join(some)}</p><p>A last paragraph that all near copies of the article share.</p>")
+    rows = [(i, f"http://a.com/{i}", page(f"<article>{p}{notice if i < 20 else ''}</article>")) for i, p in enumerate(prose)]
+    rows += [(1000 + i, f"http://a.com/n{i}", page(f"<article>{p}</article>")) for i, p in enumerate(near)]
+    rows += [(2000 + i, f"http://small.com/{i}", page(f"<article>{notice}{prose[i]}</article>")) for i in range(5)]
+    rows += [(3000 + i, f"http://b.com/{i}", page("<div><p>No article element here, but copied prose all the same.</p></div>")) for i in range(30)]
+    found = extracted(spark, rows)
+    assert all(found[i] == p[3:-4] for i, p in enumerate(prose)) and all(found[2000 + i] == prose[i][3:-4] for i in range(5))
+    assert all(found[3000 + i] == "No article element here, but copied prose all the same." for i in range(30))
+    assert all(found[1000 + i].endswith("near copies of the article share.") for i in range(60))
+
+
 # Urls.
 def test_urls(spark):
     link = lambda to: f'<link rel="canonical" href="{to}">'
