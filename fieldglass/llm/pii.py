@@ -12,7 +12,7 @@ becomes another of its gender and script. So
 
 `collisions` verifies that over a corpus: it gathers the distinct (kind, canonical form, surrogate) triples with
 a grouped count in Spark and returns surrogates that stand for more than one entity; `redact` refuses to go on
-if there are any. Detection reads whole texts; a first pass of one RE2 pattern skips those without any trigger.
+if there are any. Detection reads every text whole.
 
 Null texts stay null, empty ones empty, both without entities. Repeated rows are treated alike, other columns
 pass through. An empty table gives no rows.
@@ -25,7 +25,6 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,7 +71,6 @@ PATTERN = re.compile(
         ]
     )
 )
-TRIGGER = r"[0-9@]|\b(?:" + "|".join(sorted(map(re.escape, MALE_TITLES + FEMALE_TITLES + OTHER_TITLES))).replace("г\\-", "г-") + r")\b|(?i:password|passwd|pwd|secret|token|_key|-key|apikey)"
 _PREFIXED = re.compile(r"(?:AKIA|ASIA)(?=[A-Z0-9]{16}$)|(?:sk|pk|ghp|gho|xox[bp])[-_](?=.)")  # what names a key's kind stays
 KINDS = ("secret", "email", "iban", "ip", "phone", "ssn", "card", "person")
 
@@ -233,10 +231,6 @@ def replaced(text: str, key: bytes = KEY) -> tuple[str, int]:
     return "".join([*out, text[at:]]), n
 
 
-def _triggered(texts: pa.Array) -> list[bool]:
-    return pc.match_substring_regex(texts, TRIGGER).fill_null(False).to_pylist()
-
-
 def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """kind, surrogate, entities: surrogates that stand for several entities, or for themselves."""
 
@@ -244,7 +238,7 @@ def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch, "text"):
                 texts = part.column("text")
-                found = {(k, e) for t, some in zip(texts.to_pylist(), _triggered(texts), strict=True) if some for _, _, k, e in mentions(t)}
+                found = {(k, e) for t in texts.to_pylist() if t for _, _, k, e in mentions(t)}
                 rows = [(k, e, surrogate(k, e, key)) for k, e in found]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in (zip(*rows, strict=True) if rows else ([], [], []))], names=["kind", "entity", "surrogate"])
 
@@ -264,7 +258,7 @@ def redact(docs: DataFrame, key: bytes = KEY, count: str | None = None) -> DataF
         for batch in batches:
             for part in text_slices(batch, "text"):
                 texts = part.column(place)
-                done = [replaced(t, key) if some else (t, 0) for t, some in zip(texts.to_pylist(), _triggered(texts), strict=True)]
+                done = [replaced(t, key) if t else (t, 0) for t in texts.to_pylist()]
                 columns = part.columns
                 columns[place] = pa.array([t for t, _ in done], pa.string())
                 names = part.schema.names

@@ -398,6 +398,13 @@ def test_coreference_and_distinctness(spark):
     assert pii.redact(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("text", ["сказал Господин Иван Петров", "г-н Иванов сказал", "ο Κύριος Νίκος είπε", "accesskey=abcdefgh", "privatekey: abcdefgh", "authkey=abcdefgh", "sk-abcdefghijklmnopqrst", "ghp_abcdefghijklmnopqrst"])
+def test_no_text_with_an_entity_is_passed_over(spark, text):
+    assert list(pii.mentions(text))
+    row = pii.redact(frame(spark, [text]), count="n").first()
+    assert row.n == 1 and row.text != text
+
+
 # Pages.
 def page(body, head=""):
     return f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style>{head}</head><body>{body}</body></html>"
