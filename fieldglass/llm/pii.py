@@ -4,7 +4,9 @@ Detected: e-mail addresses, phone numbers, IPv4 addresses, payment cards, IBANs,
 secrets (keys, tokens, passwords) and persons named after a form of address. An entity's canonical form (case,
 separators and formatting aside) goes through a keyed permutation of its format: digits become digits, vowels
 vowels and consonants consonants of the same script and case, checksums that held still hold, a known given name
-becomes another of its gender and script. So
+becomes another of its gender and script. A name that a form of address brings up is replaced wherever it stands in
+that text, whole or a word of it; a word that the text also has in lower case, or that is a function word, only as part
+of the whole name. An unknown given name takes one of the address's gender and script before its letters. So
 
 * the same entity gets the same surrogate in every document (coreference), in the spelling it had there;
 * different entities of a kind get different ones, since each step is a bijection on its format, and none keeps
@@ -44,6 +46,13 @@ GIVEN = [
     "Γιώργος Νίκος Δημήτρης Κώστας Γιάννης".split(),
     "Μαρία Ελένη Κατερίνα Σοφία Άννα".split(),
 ]
+GENDER = dict.fromkeys(MALE_TITLES, "m") | dict.fromkeys(FEMALE_TITLES, "f")
+#: Capitalised words that a name's end may be taken for; they are no names on their own.
+FUNCTION_WORDS = frozenset(
+    "The And But For Nor Not Yet So He She It We You They This That These Those There Then When What Who Why How His Her Its Our Your Their "
+    "If In On At By To Of Or As Is Was Are Be An Der Die Das Und Ein Eine Er Sie Es Wir Ihr Ich Im Am Zu Le La Les Un Une Et Il Elle Nous Vous "
+    "Ils El Los Las Una Ella En De Del Du Des Que Y Con Por И В Он Она Они Мы Вы Я Не На С По Но Ο Η Το Οι Τα Και Σε Με Δεν".split()
+)
 ALPHABETS = [
     "0123456789",
     "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ",
@@ -52,6 +61,7 @@ ALPHABETS = [
     "αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
 ]
 _PLACE = {c: (k, i) for k, a in enumerate(ALPHABETS) for i, c in enumerate(a)}
+_SCRIPTS = ("A-Za-zÀ-ž", "А-я", "Ά-ώ")
 _KNOWN = {name: (k, i) for k, names in enumerate(GIVEN) for i, name in enumerate(names)}
 
 _TITLE = "|".join(sorted(map(re.escape, MALE_TITLES + FEMALE_TITLES + OTHER_TITLES), key=len, reverse=True))
@@ -136,16 +146,24 @@ def _iban(key: bytes, iban: str) -> str:
     return f"{iban[:2]}{98 - _mod97(iban[:2] + '00' + body):02d}{body}"
 
 
-def _name(key: bytes, name: str, gender: int | None) -> str:
-    """One word of a name, spelled with a capital."""
+def _name(key: bytes, name: str, gender: str) -> str:
+    """One word of a name, spelled with a capital; gender: m or f of a given name, empty if unknown."""
     if name in _KNOWN:
         group, i = _KNOWN[name]
         names = GIVEN[group]
         return names[permute(key, f"given{group}", [i], [len(names)])[0]]
+    head, dash, tail = name.partition("-")
+    if dash and head in _KNOWN:
+        return f"{_name(key, head, gender)}-{_letters(key, 'second name', tail)}"
     new = _letters(key, "name", name)
-    while new in _KNOWN:  # known names are others' surrogates
+    while new in _KNOWN or ("-" in new and new.partition("-")[0] in _KNOWN):  # known names are others' surrogates
         new = _letters(key, "name", new)
-    return new
+    script = next((k for k, letters in enumerate(_SCRIPTS) if re.match(f"[{letters}]", name)), None)
+    if not gender or script is None:
+        return new
+    # A list is finite and names are not, so the listed name comes before the letters, which keep names apart.
+    names = GIVEN[2 * script + (gender == "f")]
+    return f"{names[_random(key, 'listed', gender, name) % len(names)]}-{new}"
 
 
 def _spelled(new: str, like: str) -> str:
@@ -195,7 +213,7 @@ def surrogate(kind: str, entity: str, key: bytes = KEY) -> str:
     if kind == "card":
         return _card(key, entity)
     if kind == "person":
-        return " ".join(_name(key, w, None) for w in entity.split(" "))
+        return " ".join(_name(key, *w.partition("/")[::2]) for w in entity.split(" "))
     if m := _PREFIXED.match(entity):
         return m[0] + _letters(key, "secret" + m[0], entity[m.end() :])
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", entity) and len(entity) >= 16 and not entity.isdigit():
@@ -203,8 +221,8 @@ def surrogate(kind: str, entity: str, key: bytes = KEY) -> str:
     return _letters(key, "secret", entity)
 
 
-def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical form) of every entity, left to right."""
+def _matches(text: str) -> Iterator[tuple[int, int, str, str, str | None]]:
+    """(start, end, kind, canonical form, form of address) of every match of PATTERN that is an entity."""
     at = 0
     while m := PATTERN.search(text, at):
         kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k] is not None)
@@ -213,7 +231,46 @@ def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
         entity = canonical(kind, m[part])
         at = max(z, m.start() + 1) if entity is not None else m.start() + 1
         if entity is not None:
-            yield a, z, kind, entity
+            yield a, z, kind, entity, m["title"]
+
+
+def _bare(text: str, names: set[str]) -> re.Pattern | None:
+    """A pattern of the names and of their words that may stand alone."""
+    words = {w for name in names for w in name.split(" ")}
+    alone = {w for w in words if len(w) > 1 and w not in FUNCTION_WORDS and not re.search(rf"(?<!\w){re.escape(w.lower())}(?!\w)", text)}
+    spelled = lambda some: sorted({x for w in some for x in (w, w.upper())}, key=len, reverse=True)
+    one = "|".join(map(re.escape, spelled(alone)))
+    whole = "|".join(r"\s".join(map(re.escape, name.split(" "))) for name in spelled(n for n in names if " " in n))
+    either = "|".join(x for x in (whole, one) if x)
+    more = rf"(?:\s(?:{one}))*" if one else ""
+    return re.compile(rf"(?<!\w)(?:{either}){more}(?!\w)") if either else None
+
+
+def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, kind, canonical form) of every entity, left to right.
+
+    In a person's canonical form an unknown given name carries the gender that its form of address has: Olivia/f.
+    """
+    found = list(_matches(text))
+    names = {entity for _, _, kind, entity, _ in found if kind == "person"}
+    if not names:
+        yield from (x[:4] for x in found)
+        return
+    given: dict[str, str] = {}
+    for _, _, kind, entity, title in found:
+        if kind == "person" and " " in entity and title in GENDER:
+            first = entity.split(" ")[0]
+            if first.partition("-")[0] not in _KNOWN:
+                given.setdefault(first, GENDER[title])
+    marked = lambda entity: " ".join(f"{w}/{given[w]}" if w in given else w for w in entity.split(" "))
+    bare, at = _bare(text, names), 0
+    for a, z, kind, entity, _ in [*found, (len(text), len(text), "", "", None)]:
+        if bare and a > at:
+            for m in bare.finditer(text, at, a):
+                yield m.start(), m.end(), "person", marked(canonical("person", m[0]))
+        if kind:
+            yield a, z, kind, marked(entity) if kind == "person" else entity
+        at = z
 
 
 def replaced(text: str, key: bytes = KEY) -> tuple[str, int]:
@@ -243,7 +300,8 @@ def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in (zip(*rows, strict=True) if rows else ([], [], []))], names=["kind", "entity", "surrogate"])
 
     pairs = docs.select("text").mapInArrow(run, "kind string, entity string, surrogate string").distinct()
-    counts = pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("entities"), F.max(F.col("entity") == F.col("surrogate")).alias("same"))
+    plain = F.when(F.col("kind") == "person", F.regexp_replace("entity", "/[mf]", "")).otherwise(F.col("entity"))
+    counts = pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("entities"), F.max(plain == F.col("surrogate")).alias("same"))
     return counts.where("entities > 1 or same").select("kind", "surrogate", "entities")
 
 

@@ -405,6 +405,24 @@ def test_no_text_with_an_entity_is_passed_over(spark, text):
     assert row.n == 1 and row.text != text
 
 
+def test_persons_are_replaced_wherever_named(spark):
+    texts = [
+        "Mr John Smith came. John Smith said that Smith and JOHN SMITH's son left.", "Mrs Olivia Brown came; Olivia laughed. Brown bears are brown.", "Mr Oliver Brown", "Госпожа Дарья Попова и Дарья", "Κύριος Άρης Νικολάου",
+        "Mr Smith The end. The dog.", "Dr Olivia Brown", "Olivia Brown without an address",
+    ]
+    rows = {r.doc_id: r for r in pii.redact(frame(spark, texts), count="n").collect()}
+    new = [rows[i].text for i in range(len(texts))]
+    assert not re.search("john|smith", new[0], re.I) and rows[0].n == 4
+    given, family = new[0].split()[1:3]
+    family = family.rstrip(".")
+    assert new[0] == f"Mr {given} {family} came. {given} {family} said that {family} and {given.upper()} {family.upper()}'s son left."
+    assert "Olivia" not in new[1] and new[1].split()[1].partition("-")[0] in pii.GIVEN[1] and "; " + new[1].split()[1] + " laughed" in new[1]
+    assert new[1].endswith("Brown bears are brown.")  # the text shows it to be a word as well
+    assert new[2].split()[1].partition("-")[0] in pii.GIVEN[0] and new[3].split()[1].partition("-")[0] in pii.GIVEN[3] and new[4].split()[1].partition("-")[0] in pii.GIVEN[4]
+    assert new[3].split()[1] == new[3].split()[-1] and new[5].endswith("The dog.") and new[7] == texts[7]
+    assert pii.collisions(frame(spark, texts)).count() == 0
+
+
 # Pages.
 def page(body, head=""):
     return f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style>{head}</head><body>{body}</body></html>"
