@@ -13,6 +13,12 @@ length go to the longer host, then to the block. Repeated rows get the same verd
 
 from __future__ import annotations
 
+import html as entities
+import re
+from collections.abc import Iterator
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,15 +62,42 @@ def fitting(host: Column, path: Column, rules: list[tuple[str, str, str]], give)
     return F.coalesce(*fits) if fits else F.lit(None).cast("string")
 
 
+#: A character reference in an attribute; without its semicolon it is none before = or a letter or digit.
+_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*(?:;|(?![A-Za-z0-9=])))")
+
+
+def resolved(url: str, to: str, base: str = "") -> str | None:
+    """The url that the attribute value `to` means on the page at `url`, whose base element names `base`."""
+
+    def against(page: str, value: str) -> str:
+        value = _REFERENCE.sub(lambda m: entities.unescape(m[0]), value).strip()
+        if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", value):
+            return value
+        _, mark, rest = page.partition("://")
+        return urljoin(f"http://{rest}", value) if mark else value  # the scheme tells nothing apart
+
+    try:
+        return against(against(url, base) if base else url, to)
+    except ValueError:  # no url
+        return None
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """a, b: the url of a page and the one it redirects to or calls canonical (absolute or from the host's root)."""
+    """a, b: the url of a page and the one it redirects to or calls canonical, references resolved."""
     html = F.col("html")
     tag = F.regexp_extract(html, r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     refresh = F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    both = pages.where("html is not null and url is not null").select("url", F.explode(F.array(tag, refresh)).alias("to")).where("to <> ''")
-    scheme = F.regexp_extract("url", r"^(.*?://)", 1)
-    full = F.when(F.startswith("to", F.lit("//")), F.concat(F.lit("http:"), "to")).when(F.startswith("to", F.lit("/")), F.concat(scheme, host(F.col("url")), "to")).otherwise(F.col("to"))
-    return both.select(identity(F.col("url")).alias("a"), identity(full).alias("b")).where("a is not null and b is not null")
+    base = F.regexp_extract(html, r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    named = pages.where("html is not null and url is not null").select("url", F.array(tag, refresh).alias("both"), "html")
+    named = named.where("array_max(both) <> ''").select("url", base.alias("base"), F.explode("both").alias("to")).where("to <> ''")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            to = [resolved(*x) for x in zip(*(b.column(c).to_pylist() for c in ("url", "to", "base")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("url"), pa.array(to, pa.string())], names=["url", "to"])
+
+    both = named.mapInArrow(run, "url string, to string")
+    return both.select(identity(F.col("url")).alias("a"), identity(F.col("to")).alias("b")).where("a is not null and b is not null")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, more_links: DataFrame | None = None) -> DataFrame:

@@ -502,6 +502,17 @@ def test_urls(spark):
     }
 
 
+def test_relative_and_encoded_links(spark):
+    link = lambda to, more="": page("", f'{more}<link rel="canonical" href="{to}">')
+    rows = [
+        (1, "http://bad.net/fr/page2.html", ""), (2, "https://bad.net/x/1", link("../fr/page2.html")), (3, "http://bad.net/x/y/2?q", link("../../fr/page2.html")), (4, "http://a.org/d/1", link("2?a=1&amp;b=2")), (5, "http://a.org/d/2?a=1&b=2", link("http&#58;//bad.net/fr/9")),
+        (6, "http://a.org/d/3", link("?id=3")), (7, "http://a.org/d/3?id=3", link("//bad.net/fr/page2.html#x")), (8, "http://a.org/d/4", page("", '<meta http-equiv="refresh" content="0; url=3">')), (9, "http://c.org/1", link("page2.html", '<base href="http://bad.net/fr/">')),
+        (10, "http://c.org/2", link("http://[bad/")), (11, "http://c.org/3", link("mailto:a@bad.net/fr/")), (12, "http://c.org/4", link("?a=1&copy=2")), (13, "http://c.org/4?a=1&copy=2", link("http://bad.net/fr/9")),
+    ]
+    found = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k for k, v in found.items() if v == "allow"} == {10, 11}
+
+
 # Queries over the smallest tables against their SQL.
 @pytest.mark.parametrize("name", ["op1_repeats", "op5_vectors", "op8_decontamination", "op9_urls"])
 def test_query_equals_sql(spark, name):
