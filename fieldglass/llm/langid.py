@@ -3,14 +3,15 @@
 A text's features are all byte n-grams (ORDERS) of its lower-cased words with a blank on either side, hashed to
 BUCKETS. Every bucket has a learned vector; a text is the mean of its buckets' vectors, and a linear softmax
 over that mean gives the languages' probabilities. Vectors and weights are both fitted by stochastic gradient
-descent on the driver, over a bounded sample: about PER_LANGUAGE documents for each of the LANGUAGES most
-frequent labels, chosen by a hash of doc_id. A fifth of the sample is kept from training and sets the
+descent on the driver, over a bounded sample of documents of every label: about PER_LANGUAGE of each, fewer if that
+made over ROWS in all, but never under RARE, chosen by a hash of doc_id. A fifth of the sample is kept from training and sets the
 temperature that makes the probabilities honest and shows what share of n-grams is usual to be known from
 training. A text is rejected if its calibrated probability is under CONFIDENCE, or if it knows less than KNOWN of
 the share that all but a hundredth of the sample do: another language or no language at all.
 
-For prediction vectors and weights are multiplied once, so a broadcast table (BUCKETS x languages) is all a
-task needs; the kernel takes every byte of every text.
+For prediction vectors and weights are multiplied once if there are at most DIMENSIONS languages, and after the mean
+otherwise, so a broadcast table of at most BUCKETS x DIMENSIONS is all a task needs; the kernel takes every byte of
+every text.
 
 Defined results: null texts and texts without a letter are `und`, score 0, rejected; with no labelled row
 everything is `und`. Ties go to the first language in order of name. Extra columns don't matter.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from fieldglass.llm.common import text_map, utf8_view
 
 ORDERS, BUCKETS, DIMENSIONS = (3, 4), 1 << 18, 16
-PER_LANGUAGE, LANGUAGES, CONFIDENCE, KNOWN = 400, 50, 0.4, 0.6
+PER_LANGUAGE, ROWS, RARE, CONFIDENCE, KNOWN = 400, 20_000, 20, 0.4, 0.6
 EPOCHS, RATE, SEED = 4, 4.0, 11
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -73,25 +74,27 @@ def subwords(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # BUCKETS x languages, float32
+    table: np.ndarray  # BUCKETS x languages, or BUCKETS x DIMENSIONS if there are weights; float32
     bias: np.ndarray
     seen: np.ndarray  # BUCKETS, float32: 1 where training had it
     temperature: float = 1.0
     least_score: float = 0.0
     least_seen: float = 0.0
+    weights: np.ndarray | None = None  # DIMENSIONS x languages
 
     def scores(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities per text and the share of its n-grams that training had seen."""
         n = len(bounds) - 1
-        sums, known, total = np.zeros((n, len(self.languages))), np.zeros(n), np.zeros(n)
+        sums, known, total = np.zeros((n, self.table.shape[1])), np.zeros(n), np.zeros(n)
         buckets, edges = subwords(data, bounds)
         full = np.flatnonzero(edges[1:] > edges[:-1])
         if len(full):
-            for column in range(len(self.languages)):
+            for column in range(self.table.shape[1]):
                 sums[full, column] = np.add.reduceat(self.table[:, column][buckets], edges[full], dtype=np.float64)
             known[full] = np.add.reduceat(self.seen[buckets], edges[full], dtype=np.float64)
             total = np.diff(edges).astype(float)
-        logits = (sums / np.maximum(total, 1)[:, None] + self.bias) / self.temperature
+        mean = sums / np.maximum(total, 1)[:, None]
+        logits = ((mean if self.weights is None else mean @ self.weights) + self.bias) / self.temperature
         p = np.exp(logits - logits.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True), known / np.maximum(total, 1)
 
@@ -99,7 +102,8 @@ class Model:
 def train(rows: list[tuple[str, str]]) -> Model:
     """rows: (language, text) in a fixed order."""
     languages = sorted({x for x, _ in rows})
-    truth = np.array([languages.index(x) for x, _ in rows])
+    number = {x: k for k, x in enumerate(languages)}
+    truth = np.array([number[x] for x, _ in rows])
     features = []
     for _, text in rows:
         raw = np.frombuffer(text.lower().encode(), np.uint8)
@@ -111,6 +115,8 @@ def train(rows: list[tuple[str, str]]) -> Model:
     bias = np.zeros(len(languages), np.float32)
     order = rng.permutation(len(rows))
     held, fit = order[: len(rows) // 5], order[len(rows) // 5 :]
+    taught = np.isin(truth[held], truth[fit])  # a label's only rows are for training
+    held, fit = held[taught], np.concatenate([fit, held[~taught]])
     seen = np.zeros(BUCKETS, np.float32)
     for i in fit:
         seen[features[i][0]] = 1
@@ -129,7 +135,10 @@ def train(rows: list[tuple[str, str]]) -> Model:
             bias -= rate * 0.01 * p
             vectors[buckets] -= (rate * 4) * np.outer(share, back)
             step += 1
-    model = Model(languages, (vectors @ weights).astype(np.float32), bias, seen)
+    if len(languages) <= DIMENSIONS:
+        model = Model(languages, (vectors @ weights).astype(np.float32), bias, seen)
+    else:
+        model = Model(languages, vectors, bias, seen, weights=weights)
     return _calibrated(model, [rows[i][1] for i in held], truth[held]) if len(held) else model
 
 
@@ -166,13 +175,14 @@ def held_out(doc_id) -> F.Column:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """About per_language labelled (language, text) of each of the LANGUAGES most frequent labels, no held-out row."""
+    """About per_language labelled (language, text) of each label, fewer if labels are many; no held-out row."""
     open_ = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = open_.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = open_.groupBy("lang").count().collect()  # as long as the list of labels
     if not counts:
         return []
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, min(1.0, per_language / r["count"]))])
-    chosen = open_.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    each = min(per_language, max(RARE, ROWS // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, each / r["count"])) for r in counts], "lang string, share double")
+    chosen = open_.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     rows = chosen.collect()
     return [(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text))]
 
@@ -183,7 +193,7 @@ SCHEMA = "doc_id long, lang_pred string, score double, accepted boolean"
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score (calibrated), accepted of every row."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS x (languages + 1) floats, whatever the corpus
+    shared = spark.sparkContext.broadcast(model)  # at most BUCKETS x (DIMENSIONS + 1) floats and the weights
 
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
         model, text = shared.value, part.column("text").fill_null("")

@@ -349,6 +349,22 @@ def test_language(spark):
     assert langid.sample(df.where("lang is null")) == [] and langid.predict(df, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_every_label_is_learned(spark):
+    rng = random.Random(16)
+    stock = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(60)}
+    labels = [*list(stock) * 30, *list(stock)[:50] * 15]  # the last ten are the rarest
+    rows = [(i, " ".join(rng.choice(stock[lang]) for _ in range(30)), lang) for i, lang in enumerate(labels)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.sample(df)
+    assert {lang for lang, _ in sample} == set(stock)
+    model = langid.train(sample)
+    found = {r.doc_id: r for r in langid.predict(df, model).collect()}
+    for some in (set(list(stock)[:50]), set(list(stock)[50:])):
+        right = [found[i].lang_pred == lang for i, _, lang in rows if lang in some]
+        assert sum(right) / len(right) > 0.9
+    assert model.table.shape == (langid.BUCKETS, langid.DIMENSIONS)
+
+
 # Personal data.
 def test_permutations_are_bijections_that_move_everything():
     for radices in ([5], [5, 7], [3, 4, 5], [10, 2, 3, 2]):
