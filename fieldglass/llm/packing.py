@@ -124,15 +124,15 @@ class SumOfSquares:
             self.closed.append(part)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, drop_blank: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, drop_blank: bool = False, added: bool = False) -> DataFrame:
     """Pack every document's ids (text encoded by the file, then end_id); one row per piece, columns SCHEMA.
 
     sequence_id is unique and holds the task's number above bit 40; offset is gapless from 0 in a sequence.
-    drop_blank: see PieceEncoder; True only for a vocabulary that ignores white space.
+    added, drop_blank: see PieceEncoder; the latter True only for a vocabulary that ignores white space.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer = encoder(tokenizer_path, drop_blank), SumOfSquares(window)
+        coder, packer = encoder(tokenizer_path, drop_blank, added), SumOfSquares(window)
         sequence = TaskContext.get().partitionId() << 40
         schema = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 

@@ -61,14 +61,14 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum-of-squares packing of all documents into sequences of 2048."""
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
 
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id files of all documents, written and read back."""
     docs, folder = table(spark, sf_dir, "documents"), token_files.fresh_folder(spark)
-    files = token_files.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
+    files = token_files.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"), added=True)
     return token_files.read(spark, files)
 
 

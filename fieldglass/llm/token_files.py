@@ -98,12 +98,12 @@ class FrameReader:
             yield int(self.docs[k]), self.ids(int(k))
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, drop_blank: bool = True) -> list[dict]:
+def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, drop_blank: bool = True, added: bool = False) -> list[dict]:
     """Write docs under folder; a summary per file (path, n_docs, n_tokens, start), in document order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = sink = None
-        tokens, first, coder = 0, None, encoder(tokenizer_path, drop_blank)
+        tokens, first, coder = 0, None, encoder(tokenizer_path, drop_blank, added)
         for batch in batches:
             for part in text_slices(batch, "text"):
                 ids, edges = coder.encode(*utf8_view(part.column("text")), end_id)

@@ -4,7 +4,8 @@ A text is cut where neither vocabulary used here can have a token across: before
 follows a certain non-blank, and between a letter or digit and ASCII punctuation (the apostrophe aside, which
 begins contractions). Both split there before any merge, so a text's ids are its pieces' ids in turn.
 Pieces repeat; each distinct one goes through the library once for each Python worker, and is found again by
-a 64-bit hash in a table of numpy arrays, whose size is fixed.
+a 64-bit hash in a table of numpy arrays, whose size is fixed. Texts that hold the name of an added token, which a
+cut would part, go through the library whole.
 """
 
 from __future__ import annotations
@@ -36,15 +37,17 @@ def _powers(base: int, n: int) -> np.ndarray:
 class PieceEncoder:
     """Encodes UTF-8 bytes with a file of the tokenizers library, add_special_tokens=False.
 
-    drop_blank: the vocabulary ignores white space, so a piece may lose the blank before it.
+    drop_blank: the vocabulary ignores white space, so a piece may lose the blank before it. added: the name of an
+    added token (<|endoftext|>) in a text is that token, as the library has it by default; else it is ordinary text.
     """
 
-    def __init__(self, path: str, drop_blank: bool = False):
+    def __init__(self, path: str, drop_blank: bool = False, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.drop_blank = Tokenizer.from_file(path), drop_blank
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        self.names = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.up = self.down = np.ones(1, np.uint64)
         self._forget()
 
@@ -99,6 +102,37 @@ class PieceEncoder:
 
     def encode(self, data: np.ndarray, bounds: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all texts back to back and each text's bounds there; `end` closes every text."""
+        if self.names and len(whole := self._named(data, bounds)):
+            return self._spliced(data, bounds, end, whole)
+        return self._by_pieces(data, bounds, end)
+
+    def _named(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Numbers of the texts that hold the name of an added token."""
+        raw, found = data.tobytes(), []
+        for name in self.names:
+            at = raw.find(name)
+            while at >= 0:
+                k = int(np.searchsorted(bounds, at, side="right")) - 1
+                if at + len(name) <= bounds[k + 1]:
+                    found.append(k)
+                    at = raw.find(name, int(bounds[k + 1]))
+                else:  # it only seems to go on into the next text
+                    at = raw.find(name, at + 1)
+        return np.unique(np.array(found, np.int64))
+
+    def _spliced(self, data: np.ndarray, bounds: np.ndarray, end: int | None, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.diff(bounds)
+        kept = np.repeat(~np.isin(np.arange(len(sizes)), whole), sizes)
+        sizes[whole] = 0
+        ids, edges = self._by_pieces(data[kept], np.concatenate([[0], np.cumsum(sizes)]), end)
+        parts, many, at = [], np.diff(edges), 0
+        for k in whole.tolist():
+            own = self.tokenizer.encode(data[bounds[k] : bounds[k + 1]].tobytes().decode(), add_special_tokens=False).ids
+            parts += [ids[at : edges[k]], np.array(own, np.uint32)]
+            at, many[k] = edges[k], many[k] + len(own)
+        return np.concatenate([*parts, ids[at:]]), np.concatenate([[0], np.cumsum(many)])
+
+    def _by_pieces(self, data: np.ndarray, bounds: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         n = len(bounds) - 1
         if not len(data):
             ids = np.full(n if end is not None else 0, end or 0, np.uint32)
@@ -142,12 +176,12 @@ class PieceEncoder:
         return ids, edges
 
 
-_OPEN: dict[tuple[str, bool], PieceEncoder] = {}
+_OPEN: dict[tuple[str, bool, bool], PieceEncoder] = {}
 
 
-def encoder(path: str, drop_blank: bool = False) -> PieceEncoder:
+def encoder(path: str, drop_blank: bool = False, added: bool = False) -> PieceEncoder:
     """This Python worker's encoder for a file; kept from task to task."""
-    key = (path, drop_blank)
+    key = (path, drop_blank, added)
     if key not in _OPEN:
-        _OPEN[key] = PieceEncoder(path, drop_blank)
+        _OPEN[key] = PieceEncoder(*key)
     return _OPEN[key]

@@ -48,6 +48,30 @@ def test_pieces_encode_as_whole_texts(path, drop):
         assert ids[edges[k] : edges[k + 1]].tolist() == [*coder.tokenizer.encode(t or "", add_special_tokens=False).ids, 1], repr(t)
 
 
+@pytest.mark.parametrize("path, drop", [(BYTE, False), (WORD, True)])
+def test_added_tokens_encode_as_in_the_library(path, drop):
+    import pyarrow as pa
+
+    coder, plain = PieceEncoder(path, drop, added=True), Tokenizer.from_file(path)
+    texts = ["one <|endoftext|> two", *ODD, "<|endoftext|>", "cut <|endof", "text|> off", "a<|startoftext|>b <|endoftext|><|endoftext|>c", "last"]
+    for end in (1, None):
+        ids, edges = coder.encode(*utf8_view(pa.array(texts, pa.string())), end)
+        for k, t in enumerate(texts):
+            assert ids[edges[k] : edges[k + 1]].tolist() == [*plain.encode(t or "", add_special_tokens=False).ids, *([end] if end else [])], repr(t)
+    assert plain.token_to_id("<|endoftext|>") in ids
+
+
+def test_queries_take_added_tokens(spark, tmp_path):
+    from fieldglass.llm import queries
+
+    frame(spark, ["one <|endoftext|> two"]).write.parquet(str(tmp_path / "documents.parquet"))
+    for name, path in (("op4_packing", BYTE), ("op10_token_files", WORD)):
+        want = [*Tokenizer.from_file(path).encode("one <|endoftext|> two", add_special_tokens=False).ids, 1]
+        for r in queries.QUERIES[name](spark, str(tmp_path)).collect():  # packing may cut a document
+            some = want[r.start : r.start + r.length] if name == "op4_packing" else want
+            assert r.ids_crc32 == zlib.crc32(np.array(some, "<u4").tobytes())
+
+
 def test_packing_keeps_every_id_once(spark):
     rng = random.Random(2)
     texts = [*ODD, *[words_of(rng, rng.randint(0, 900)) for _ in range(60)], words_of(rng, 6000)]
