@@ -1,38 +1,61 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
 Detected: e-mail addresses, phone numbers, IPv4 addresses, payment cards, IBANs, US social security numbers,
-secrets (keys, tokens, passwords) and persons named after a form of address. An entity's canonical form (case,
-separators and formatting aside) goes through a keyed permutation of its format: digits become digits, vowels
-vowels and consonants consonants of the same script and case, checksums that held still hold, a known given name
-becomes another of its gender and script. A name that a form of address brings up is replaced wherever it stands in
-that text, whole or a word of it; a word that the text also has in lower case, or that is a function word, only as part
-of the whole name. An unknown given name takes one of the address's gender and script before its letters. So
+secrets (keys, tokens, passwords; what has no letter or digit, such as a row of stars, is none) and persons named after
+a form of address or by a known given name and a family name. An entity's canonical form (case, separators and
+formatting aside) goes through a keyed permutation of its format: digits become digits, vowels vowels and consonants
+consonants of the same script and case, letters outside ALPHABETS others of their Unicode page and category; checksums
+that held still hold, an address stays private, public, loopback or reserved, numbers stay in valid ranges, an e-mail
+address keeps its top-level domain (or a reserved example domain), a known given name becomes another of its gender and
+script. A name that a form of address brings up is replaced wherever it stands in that text, whole or a word of it; a
+word that the text also has in lower case, or that is a function word, only as part of the whole name. An unknown given
+name takes one of the address's gender and script before its letters. So
 
 * the same entity gets the same surrogate in every document (coreference), in the spelling it had there;
-* different entities of a kind get different ones, since each step is a bijection on its format, and none keeps
-  its own value: the first symbol always moves by a step that is not zero.
+* different entities of a kind get different ones, since each step is a bijection on its format.
 
-`collisions` verifies that over a corpus: it gathers the distinct (kind, canonical form, surrogate) triples with
-a grouped count in Spark and returns surrogates that stand for more than one entity; `redact` refuses to go on
-if there are any. Detection reads every text whole.
+`settled` verifies and mends that over a corpus: it gathers the distinct (kind, canonical form, surrogate) triples
+with a grouped count in Spark. An entity whose surrogate is its own form, another entity of the corpus or another's
+surrogate is given one under a further key, up to ATTEMPTS times; what then still shares a surrogate gets a number after
+it, and what only equals a real entity keeps it (a format that is full has no free value). `redact` applies these few
+exceptions: as a broadcast up to BROADCAST_ROWS of them, beyond that by a join on the hash of the texts that need one.
+A person counts by words, so that a part of a name keeps the surrogate it has in the whole.
+
+The key is an argument, or the session's setting KEY_SETTING; without either a random one is drawn for the driver's
+process, so surrogates agree within a run but not between runs. Who has the key can undo the surrogates.
 
 Null texts stay null, empty ones empty, both without entities. Repeated rows are treated alike, other columns
-pass through. An empty table gives no rows.
+pass through (a column with the name given for the count is replaced). An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import secrets
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import text_slices
+from fieldglass.llm.common import cut, text_slices
+
+KEY_SETTING = "spark.fieldglass.surrogates.key"
+ATTEMPTS, BROADCAST_ROWS = 6, 50_000
+_DRAWN = secrets.token_bytes(32)
+
+
+def key_of(key: bytes | None = None) -> bytes:
+    """The key given, or the session's, or this process's own."""
+    if key is not None:
+        return key
+    session = SparkSession.getActiveSession()
+    found = session.conf.get(KEY_SETTING, None) if session else None
+    return hashlib.sha256(found.encode()).digest() if found else _DRAWN
 
-KEY = b"surrogates"
 
 # Forms of address by gender, given names by gender and script, alphabets.
 MALE_TITLES = "Mr Herr Monsieur Señor Don Sir Signor г-н Господин Κύριος".split()
@@ -63,10 +86,14 @@ ALPHABETS = [
 _PLACE = {c: (k, i) for k, a in enumerate(ALPHABETS) for i, c in enumerate(a)}
 _SCRIPTS = ("A-Za-zÀ-ž", "А-я", "Ά-ώ")
 _KNOWN = {name: (k, i) for k, names in enumerate(GIVEN) for i, name in enumerate(names)}
+#: Given names that are common words too; without a form of address they begin no name.
+WORDS_TOO = frozenset("Mark Rosa Carmen".split())
 
 _TITLE = "|".join(sorted(map(re.escape, MALE_TITLES + FEMALE_TITLES + OTHER_TITLES), key=len, reverse=True))
 _NAME = r"[^\W\d_][^\W\d_'’-]*(?:['’-][^\W\d_]+)*"
 _UPPER = r"(?=[A-ZÀ-ÖØ-ÞŠŽА-ЯЁΑ-ΩΆ-Ώ])"
+_GIVEN = "|".join(sorted(set(_KNOWN) - WORDS_TOO, key=len, reverse=True))
+_FAMILY = rf"\s(?!(?:{'|'.join(sorted(FUNCTION_WORDS))})\b){_UPPER}{_NAME}"
 PATTERN = re.compile(
     "|".join(
         [
@@ -78,11 +105,12 @@ PATTERN = re.compile(
             r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
             r"(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))",
             rf"(?P<person>\b(?P<title>{_TITLE})\b\.?\s(?P<names>{_UPPER}{_NAME}(?:\s{_UPPER}{_NAME}){{0,2}}))",
+            rf"(?P<named>\b(?:{_GIVEN}){_FAMILY}(?!\w))",
         ]
     )
 )
 _PREFIXED = re.compile(r"(?:AKIA|ASIA)(?=[A-Z0-9]{16}$)|(?:sk|pk|ghp|gho|xox[bp])[-_](?=.)")  # what names a key's kind stays
-KINDS = ("secret", "email", "iban", "ip", "phone", "ssn", "card", "person")
+KINDS = ("secret", "email", "iban", "ip", "phone", "ssn", "card", "person", "named")
 
 
 def _random(key: bytes, *parts: object) -> int:
@@ -104,17 +132,33 @@ def permute(key: bytes, kind: str, digits: list[int], radices: list[int]) -> lis
     return [(first + step) % radices[0], *rest]
 
 
-def _letters(key: bytes, kind: str, text: str) -> str:
-    """permute over a text's letters and digits; every other character stays."""
-    at = [i for i, c in enumerate(text) if c in _PLACE]
-    if not at:
+@functools.lru_cache(1 << 14)
+def _symbols(c: str) -> tuple[object, str, int] | None:
+    """(name, symbols, place in them) of the alphabet of a letter or digit; None for any other character."""
+    if c in _PLACE:
+        k, i = _PLACE[c]
+        return k, ALPHABETS[k], i
+    if not c.isalnum():
+        return None
+    page, category = ord(c) >> 8, unicodedata.category(c)
+    symbols = "".join(x for x in map(chr, range(page << 8, (page + 1) << 8)) if x not in _PLACE and x.isalnum() and unicodedata.category(x) == category)
+    return (page, category), symbols, symbols.index(c)
+
+
+def _letters(key: bytes, kind: str, text: str, fixed: dict[int, str] | None = None) -> str:
+    """permute over a text's letters and digits; every other character stays. fixed: symbols for some places."""
+    found = [(i, _symbols(c)) for i, c in enumerate(text)]
+    found = [(i, x) for i, x in found if x]
+    if not found:
         return text
-    places = [_PLACE[text[i]] for i in at]
-    shape = "".join("#" if c in _PLACE else c for c in text)
-    out = permute(key, f"{kind}|{shape}|{[k for k, _ in places]}", [i for _, i in places], [len(ALPHABETS[k]) for k, _ in places])
+    if fixed:
+        found = [(i, (f"{x[0]}{fixed[i]}", fixed[i], fixed[i].index(text[i])) if text[i] in fixed.get(i, "") else x) for i, x in found]
+    there = {i for i, _ in found}
+    shape = "".join("#" if i in there else c for i, c in enumerate(text))
+    out = permute(key, f"{kind}|{shape}|{[x[0] for _, x in found]}", [x[2] for _, x in found], [len(x[1]) for _, x in found])
     new = list(text)
-    for i, (k, _), value in zip(at, places, out, strict=True):
-        new[i] = ALPHABETS[k][value]
+    for (i, x), value in zip(found, out, strict=True):
+        new[i] = x[1][value]
     return "".join(new)
 
 
@@ -137,6 +181,52 @@ def _card(key: bytes, digits: str) -> str:
     return new
 
 
+def _ip_class(ip: list[int]) -> tuple[str, int]:
+    """What an address is for, and how many of its numbers say so."""
+    a, b = ip[:2]
+    if a in (0, 10, 127) or a >= 224:
+        return f"{a}", 1
+    if (a, b) in ((169, 254), (192, 168)):
+        return f"{a}.{b}", 2
+    return ("172", 1) if a == 172 and 16 <= b < 32 else ("public", 0)
+
+
+def _ip(key: bytes, ip: list[int]) -> list[int]:
+    name, fixed = _ip_class(ip)
+    new = ip
+    while new is ip or _ip_class(new)[0] != name:  # cycle-walking stays a bijection on the addresses of this use
+        new = [*ip[:fixed], *permute(key, f"ip{name}", new[fixed:], [256] * (4 - fixed))]
+    return new
+
+
+def _valid_ssn(digits: str) -> bool:
+    return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+
+
+def _ssn(key: bytes, digits: str) -> str:
+    new = _letters(key, "ssn", digits)
+    while _valid_ssn(new) != _valid_ssn(digits):
+        new = _letters(key, "ssn", new)
+    return new
+
+
+_ONES = dict.fromkeys((0, 3), "23456789")  # area and exchange codes of the North American plan begin so
+
+
+def _phone(key: bytes, country: str, digits: str) -> str:
+    return _letters(key, "phone" + country, digits, _ONES if country == "1" and len(digits) == 10 else {0: "123456789"})
+
+
+_RESERVED = re.compile(r"(?:^|\.)(example\.(?:com|org|net|edu)|example|test|invalid|localhost)$")
+
+
+def _email(key: bytes, entity: str) -> str:
+    local, _, domain = entity.rpartition("@")
+    end = m[1] if (m := _RESERVED.search(domain)) else domain.rpartition(".")[2]
+    rest = domain[: len(domain) - len(end)]
+    return f"{_letters(key, 'local' + end * (not rest), local)}@{_letters(key, 'domain' + end, rest)}{end}"
+
+
 def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
@@ -193,27 +283,31 @@ def canonical(kind: str, found: str) -> str | None:
         return re.sub(r"\D", "", found)
     if kind == "person":
         return " ".join(w[:1].upper() + w[1:].lower() if w.isupper() else w for w in found.split())
-    return found
+    return found if any(map(str.isalnum, found)) else None  # a secret that is masked already
 
 
-def surrogate(kind: str, entity: str, key: bytes = KEY) -> str:
-    """The canonical form's replacement, canonical again."""
+def surrogate(kind: str, entity: str, key: bytes | None = None, attempt: int = 0) -> str:
+    """The canonical form's replacement, canonical again; a person's words each have their own (kind name)."""
+    key = key_of(key)
+    if attempt:
+        key = hashlib.blake2b(attempt.to_bytes(4, "big"), key=key[:64]).digest()
     if kind == "email":
-        local, _, domain = entity.rpartition("@")
-        return f"{_letters(key, 'local', local)}@{_letters(key, 'domain', domain)}.example"
+        return _email(key, entity)
     if kind == "iban":
         return _iban(key, entity)
     if kind == "ip":
-        return ".".join(map(str, permute(key, "ip", [int(x) for x in entity.split(".")], [256] * 4)))
+        return ".".join(map(str, _ip(key, [int(x) for x in entity.split(".")])))
     if kind == "phone":
         country, _, digits = entity.partition(" ")
-        return f"{country} {_letters(key, 'phone' + country, digits)}"
+        return f"{country} {_phone(key, country, digits)}"
     if kind == "ssn":
-        return _letters(key, "ssn", entity)
+        return _ssn(key, entity)
     if kind == "card":
         return _card(key, entity)
     if kind == "person":
-        return " ".join(_name(key, *w.partition("/")[::2]) for w in entity.split(" "))
+        return " ".join(surrogate("name", w, key) for w in entity.split(" "))
+    if kind == "name":
+        return _name(key, *entity.partition("/")[::2])
     if m := _PREFIXED.match(entity):
         return m[0] + _letters(key, "secret" + m[0], entity[m.end() :])
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", entity) and len(entity) >= 16 and not entity.isdigit():
@@ -228,6 +322,7 @@ def _matches(text: str) -> Iterator[tuple[int, int, str, str, str | None]]:
         kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k] is not None)
         part = {"secret": "value" if m["value"] else "secret", "person": "names"}.get(kind, kind)
         a, z = m.span(part)
+        kind = "person" if kind == "named" else kind
         entity = canonical(kind, m[part])
         at = max(z, m.start() + 1) if entity is not None else m.start() + 1
         if entity is not None:
@@ -246,12 +341,13 @@ def _bare(text: str, names: set[str]) -> re.Pattern | None:
     return re.compile(rf"(?<!\w)(?:{either}){more}(?!\w)") if either else None
 
 
-def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
+def mentions(text: str, cards: str = "any") -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of every entity, left to right.
 
     In a person's canonical form an unknown given name carries the gender that its form of address has: Olivia/f.
+    cards: `any` number as long as a payment card's, or only `valid` ones, whose check digit holds.
     """
-    found = list(_matches(text))
+    found = [x for x in _matches(text) if x[2] != "card" or cards == "any" or luhn(x[3])]
     names = {entity for _, _, kind, entity, _ in found if kind == "person"}
     if not names:
         yield from (x[:4] for x in found)
@@ -273,10 +369,16 @@ def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
         at = z
 
 
-def replaced(text: str, key: bytes = KEY) -> tuple[str, int]:
-    out, at, n = [], 0, 0
-    for a, z, kind, entity in mentions(text):
-        mention, new = text[a:z], surrogate(kind, entity, key)
+def replaced(text: str, key: bytes | None = None, changed: dict[tuple[str, str], str] | None = None, cards: str = "any") -> tuple[str, int]:
+    """The text with surrogates, and how many; changed: surrogates other than the first attempt's."""
+    out, at, n, key, changed = [], 0, 0, key_of(key), changed or {}
+
+    def new_of(kind: str, entity: str) -> str:
+        return changed.get((kind, entity)) or surrogate(kind, entity, key)
+
+    for a, z, kind, entity in mentions(text, cards):
+        mention = text[a:z]
+        new = " ".join(new_of("name", w) for w in entity.split(" ")) if kind == "person" else new_of(kind, entity)
         if kind in ("iban", "card", "ssn"):
             new = _spelled(new, mention)
         elif kind == "phone":
@@ -288,38 +390,111 @@ def replaced(text: str, key: bytes = KEY) -> tuple[str, int]:
     return "".join([*out, text[at:]]), n
 
 
-def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """kind, surrogate, entities: surrogates that stand for several entities, or for themselves."""
+def _named(text: str, cards: str) -> set[tuple[str, str]]:
+    """The distinct (kind, entity) of a text; persons by words."""
+    return {x for _, _, k, e in mentions(text, cards) for x in ([("name", w) for w in e.split(" ")] if k == "person" else [(k, e)])}
+
+
+PAIRS = "kind string, entity string, surrogate string"
+
+
+def _pairs(docs: DataFrame, key: bytes, cards: str) -> DataFrame:
+    """The distinct entities of a corpus and their first surrogates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                texts = part.column("text")
-                found = {(k, e) for t in texts.to_pylist() if t for _, _, k, e in mentions(t)}
+                found = set().union(*(_named(t, cards) for t in part.column("text").to_pylist() if t))
                 rows = [(k, e, surrogate(k, e, key)) for k, e in found]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in (zip(*rows, strict=True) if rows else ([], [], []))], names=["kind", "entity", "surrogate"])
 
-    pairs = docs.select("text").mapInArrow(run, "kind string, entity string, surrogate string").distinct()
-    plain = F.when(F.col("kind") == "person", F.regexp_replace("entity", "/[mf]", "")).otherwise(F.col("entity"))
-    counts = pairs.groupBy("kind", "surrogate").agg(F.count("*").alias("entities"), F.max(plain == F.col("surrogate")).alias("same"))
+    return docs.select("text").mapInArrow(run, PAIRS).distinct()
+
+
+def _plain():
+    return F.when(F.col("kind") == "name", F.regexp_replace("entity", "/[mf]$", "")).otherwise(F.col("entity"))
+
+
+def collisions(docs: DataFrame, key: bytes | None = None, cards: str = "any") -> DataFrame:
+    """kind, surrogate, entities: first surrogates that stand for several entities, or for themselves."""
+    counts = _pairs(docs, key_of(key), cards).groupBy("kind", "surrogate").agg(F.count("*").alias("entities"), F.max(_plain() == F.col("surrogate")).alias("same"))
     return counts.where("entities > 1 or same").select("kind", "surrogate", "entities")
 
 
-def redact(docs: DataFrame, key: bytes = KEY, count: str | None = None) -> DataFrame:
+def settled(docs: DataFrame, key: bytes | None = None, cards: str = "any") -> DataFrame:
+    """PAIRS of the entities that can't have their first surrogate, each with the one it gets."""
+    key = key_of(key)
+    pairs = cut(_pairs(docs, key, cards))
+    real = pairs.select("kind", _plain().alias("surrogate")).distinct()
+    first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("entity")) == 1
+    hard = ~first | (_plain() == F.col("surrogate"))
+    taken = pairs.withColumn("hard", hard).join(real.withColumn("real", F.lit(True)), ["kind", "surrogate"], "left")
+    open_ = cut(taken.where("hard or real").select("kind", "entity", F.col("surrogate").alias("old"), "hard"))
+    none = open_.where("false").select("kind", "entity", F.col("old").alias("surrogate"))
+    if open_.isEmpty():
+        return none
+    used, out = pairs.select("kind", "surrogate").unionByName(real), none
+    for attempt in range(1, ATTEMPTS + 1):
+        tried = open_.mapInArrow(_again(key, attempt), "kind string, entity string, old string, hard boolean, surrogate string")
+        free = tried.where(_plain() != F.col("surrogate")).join(used, ["kind", "surrogate"], "left_anti").withColumn("first", first).where("first")
+        free = cut(free.select("kind", "entity", "surrogate"))
+        out, used = out.unionByName(free), used.unionByName(free.select("kind", "surrogate"))
+        open_ = cut(open_.join(free, ["kind", "entity"], "left_anti"))
+        if open_.isEmpty():
+            return out
+    number = F.pmod(F.xxhash64("entity", F.lit(key.hex())), F.lit(10**12)).cast("string")
+    return out.unionByName(open_.where("hard").select("kind", "entity", F.concat("old", number).alias("surrogate")))
+
+
+def _again(key: bytes, attempt: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = [surrogate(k, e, key, attempt) for k, e in zip(b.column("kind").to_pylist(), b.column("entity").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], names=[*b.schema.names, "surrogate"])
+
+    return run
+
+
+def _exceptions_by_text(docs: DataFrame, found: DataFrame, cards: str) -> DataFrame:
+    """docs with `_changed`: the exceptions that each text needs, joined by the hash of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                rows = [(t, *x) for t, text in zip(part.column("hash").to_pylist(), part.column("text").to_pylist(), strict=True) if text for x in sorted(_named(text, cards))]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in (zip(*rows, strict=True) if rows else ([], [], []))], names=["hash", "kind", "entity"])
+
+    digest = F.sha2("text", 256)
+    said = docs.select(digest.alias("hash"), "text").mapInArrow(run, "hash string, kind string, entity string").distinct()
+    needed = said.join(found, ["kind", "entity"]).groupBy("hash").agg(F.collect_list(F.struct("kind", "entity", "surrogate")).alias("_changed"))
+    return docs.join(needed.withColumnRenamed("hash", "_hash"), digest == F.col("_hash"), "left").drop("_hash")
+
+
+def redact(docs: DataFrame, key: bytes | None = None, count: str | None = None, cards: str = "any") -> DataFrame:
     """docs with every entity in `text` replaced; count: a name for a column with the number of entities."""
-    if not (clash := collisions(docs, key)).isEmpty():
-        raise ValueError(f"surrogates collide: {clash.limit(3).collect()}")
-    schema = docs.schema
-    place = docs.columns.index("text")
+    key = key_of(key)
+    found = cut(settled(docs, key, cards))
+    if count in docs.columns:
+        docs = docs.drop(count)
+    schema, place, width = docs.schema, docs.columns.index("text"), len(docs.columns)
+    changed: dict[tuple[str, str], str] = {}
+    if found.count() <= BROADCAST_ROWS:
+        changed = {(r.kind, r.entity): r.surrogate for r in found.collect()}
+    else:
+        docs = _exceptions_by_text(docs, found, cards)
+    shared = docs.sparkSession.sparkContext.broadcast(changed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                texts = part.column(place)
-                done = [replaced(t, key) if t else (t, 0) for t in texts.to_pylist()]
-                columns = part.columns
+                own = part.column(width).to_pylist() if part.num_columns > width else [None] * part.num_rows
+                done = []
+                for t, more in zip(part.column(place).to_pylist(), own, strict=True):
+                    exceptions = {(x["kind"], x["entity"]): x["surrogate"] for x in more} if more else shared.value
+                    done.append(replaced(t, key, exceptions, cards) if t else (t, 0))
+                columns = part.columns[:width]
                 columns[place] = pa.array([t for t, _ in done], pa.string())
-                names = part.schema.names
+                names = part.schema.names[:width]
                 if count:
                     columns, names = [*columns, pa.array([n for _, n in done], pa.int64())], [*names, count]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
