@@ -3,9 +3,11 @@
 Vectors are compared only inside a class: same label, same number of components. A tree splits recursively at
 the median of a random projection; both sides also get the vectors that lie within a margin of it (spill), so
 close pairs are seldom parted, and TREES trees with other directions catch what one tree parts. Medians are
-fitted on a bounded sample (SAMPLE vectors by a hash of vec_id); every vector is indexed. The depth follows the
-class's size, so leaves stay near LEAF vectors at any scale. All pairs of a leaf are compared in double
-precision, in blocks; leaves over HOT rows are dealt as pairs of blocks, so no task holds a hot leaf.
+fitted on a bounded sample (vectors by a hash of vec_id, SAMPLE of them and SAMPLE_BYTES at most); every vector is
+indexed. A node with fewer than FIT sample vectors takes the median that the nearest ancestor with as many has in the
+node's own direction. The depth follows the class's size, so leaves stay near LEAF vectors at any scale; a class of
+LEAF vectors or fewer is one leaf of one tree. All pairs of a leaf are compared in double precision, in blocks, a leaf
+at a time; leaves over HOT rows are dealt as pairs of blocks, so no task holds a hot leaf.
 
 Equal vectors are one class from the start, with a count. A pair of distinct vectors that meets in several
 leaves is counted in the first one only (each row carries the list of its leaves), so a task can return its
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.llm.common import components, cut, deal, local_roots
 
-COSINE, TREES, LEAF, SAMPLE, HOT, MARGIN = 0.98, 8, 1000, 20_000, 4096, 1.25
+COSINE, TREES, LEAF, SAMPLE, SAMPLE_BYTES, FIT, HOT, MARGIN = 0.98, 8, 32, 20_000, 32 << 20, 64, 4096, 1.25
 SEED, DEEPEST = 5, 40
 
 
@@ -43,18 +46,33 @@ def margin(cosine: float, dims: int) -> float:
 
 
 class Tree:
-    """Thresholds by node (1 is the root, 2n and 2n + 1 lie below n); nodes without a sample split at the parent's."""
+    """Thresholds by node (1 is the root, 2n and 2n + 1 lie below n), from a sample that all trees share."""
 
     def __init__(self, number: int, sample: np.ndarray, depth: int, gap: float):
-        self.number, self.gap, self.cuts = number, gap, {}
+        self.number, self.sample, self.gap = number, sample, gap
+        self.cuts: dict[int, float] = {}
+        self.rows: dict[int, np.ndarray] = {}  # of fitted nodes with an unfitted one below
         stack = [(1, np.arange(len(sample)))]
         while stack:
             node, rows = stack.pop()
-            if node >= 1 << depth or len(rows) < 16:
+            if node >= 1 << depth or len(rows) < FIT:
                 continue
             projected = sample[rows] @ direction(number, node, sample.shape[1])
             self.cuts[node] = middle = float(np.median(projected))
-            stack += [(2 * node, rows[projected <= middle]), (2 * node + 1, rows[projected > middle])]
+            below = [(2 * node, rows[projected <= middle]), (2 * node + 1, rows[projected > middle])]
+            if min(len(r) for _, r in below) < FIT:
+                self.rows[node] = rows
+            stack += below
+
+    def cut(self, node: int) -> float:
+        """The node's threshold; one that the sample is too small for is worked out when it is first asked for."""
+        if node not in self.cuts:
+            above = node
+            while above and above not in self.rows:
+                above >>= 1
+            some = self.sample[self.rows[above]] if above else self.sample
+            self.cuts[node] = float(np.median(some @ direction(self.number, node, some.shape[1]))) if len(some) else 0.0
+        return self.cuts[node]
 
     def route(self, vectors: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) pairs; depth is each row's own."""
@@ -70,17 +88,15 @@ class Tree:
                 at = at[~done]
             if not len(at):
                 continue
-            above, middle = node, None
-            while middle is None and above:
-                middle, above = self.cuts.get(above), above >> 1
-            projected = vectors[at] @ direction(self.number, node, vectors.shape[1])
-            middle = middle or 0.0
+            projected, middle = vectors[at] @ direction(self.number, node, vectors.shape[1]), self.cut(node)
             stack += [(2 * node, at[projected <= middle + self.gap]), (2 * node + 1, at[projected > middle - self.gap])]
         return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(leaves or [np.zeros(0, int)])
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dims)
+    """Vectors as stored, 4 or 8 bytes a component, in double precision."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), "<f4" if len(raw[0]) == 4 * dims else "<f8").reshape(-1, dims).astype(np.float64)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -89,7 +105,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, dims, raw (components as little-endian doubles) of the vectors that may link."""
+    """vec_id, label, dims, raw (components, little-endian, in the precision they have) of the vectors that may link."""
+    single = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
+    kind = "<f4" if single else "<f8"
     ok = (
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0)
         & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
@@ -98,30 +116,32 @@ def usable(vectors: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("embedding")
-            values, offsets = np.asarray(lists.values, np.float64) + 0.0, lists.offsets.to_numpy()
-            raw = [values[a:z].astype("<f8").tobytes() for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+            values, offsets = np.asarray(lists.values, kind) + np.dtype(kind).type(0), lists.offsets.to_numpy()  # no negative zero
+            raw = [values[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
             dims = np.diff(offsets).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(dims), pa.array(raw, pa.binary())], names=["vec_id", "label", "dims", "raw"])
 
-    chosen = vectors.where(F.coalesce(ok, F.lit(False))).select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>"))
+    chosen = vectors.where(F.coalesce(ok, F.lit(False))).select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<float>" if single else "array<double>"))
     return chosen.mapInArrow(run, "vec_id long, label string, dims int, raw binary")
 
 
 def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Of distinct vectors (vec, n, label, dims, raw): vec, root (of a spanning forest), others (linked copies)."""
     sizes = classes.groupBy("label", "dims").agg(F.count("*").alias("size"))
-    shapes = {r.dims: (r.total, r.most) for r in sizes.groupBy("dims").agg(F.sum("size").alias("total"), F.max("size").alias("most")).orderBy(F.desc("total")).limit(1000).collect()}
-    total = sum(t for t, _ in shapes.values())
-    if not total:
+    # One row for each number of components that occurs.
+    shapes = {r.dims: (r.total, r.most) for r in sizes.groupBy("dims").agg(F.sum("size").alias("total"), F.max("size").alias("most")).collect()}
+    if not shapes:
         return classes.sparkSession.createDataFrame([], "vec long, root long, others long")
-    chosen = classes.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) < min(1.0, SAMPLE / total) * (1 << 30)).select("dims", "raw").collect()
+    bytes_ = 8 * sum(dims * total for dims, (total, _) in shapes.items())
+    share = min(1.0, SAMPLE / sum(t for t, _ in shapes.values()), SAMPLE_BYTES / bytes_)
+    chosen = classes.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) < share * (1 << 30)).select("dims", "raw").collect()
     forest = {}
     for dims, (_, most) in shapes.items():
-        sample = [np.frombuffer(r.raw, "<f8") for r in chosen if r.dims == dims]
-        sample = _unit(np.array(sample).reshape(-1, dims)) if sample else np.zeros((0, dims))
+        sample = [r.raw for r in chosen if r.dims == dims]
+        sample = _unit(_matrix(pa.array(sample, pa.binary()), dims)) if sample else np.zeros((0, dims))
         depth = min(DEEPEST, max(0, math.ceil(math.log2(most / LEAF))))
-        forest[dims] = [Tree(t, sample, depth, margin(cosine, dims)) for t in range(TREES)]
-    shared = classes.sparkSession.sparkContext.broadcast(forest)  # at most SAMPLE / 16 thresholds a tree and shape
+        forest[dims] = [Tree(t, sample, depth, margin(cosine, dims)) for t in range(TREES if depth else 1)]
+    shared = classes.sparkSession.sparkContext.broadcast(forest)  # the sample, and a threshold for every FIT of it
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -131,8 +151,12 @@ def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
                 for dims in np.unique(shape):
                     here = np.flatnonzero(shape == dims)
                     vectors = _unit(_matrix(b.column("raw").take(pa.array(here)), int(dims)))
-                    trees = shared.value.get(int(dims)) or [Tree(0, np.zeros((0, int(dims))), 0, 0.0)]
-                    found = [tree.route(vectors, np.minimum(depth[here], DEEPEST)) for tree in trees]
+                    own = np.minimum(depth[here], DEEPEST)
+                    found = []
+                    for tree in shared.value[int(dims)]:  # a class that is not split is compared in the first tree alone
+                        some = np.flatnonzero((own > 0) | (tree.number == 0))
+                        at_, leaf = tree.route(vectors[some], own[some])
+                        found.append((some[at_], leaf))
                     rows = np.concatenate([r for r, _ in found])
                     codes = np.concatenate([(np.int64(t) << 48) | leaf for t, (_, leaf) in enumerate(found)])
                     order = np.lexsort((codes, rows))
@@ -146,38 +170,101 @@ def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
                     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = [b for b in batches if b.num_rows]
-        if not some:
-            return
-        table = pa.Table.from_batches(some).combine_chunks().sort_by([(c, "ascending") for c in ("label", "dims", "leaf", "block", "vec")])
-        names = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-        columns = [names] + [table.column(c).to_numpy() for c in ("dims", "leaf", "block")]
-        new = np.zeros(len(names), bool)
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        new[0] = True
-        edges = np.append(np.flatnonzero(new), len(new))
-        for a, z in zip(edges[:-1], edges[1:], strict=True):
-            if z - a > 1 and (out := leaf_links(table.slice(a, z - a), cosine)) is not None:
-                yield out
+        held: list[Rows] = []  # rows come sorted: one leaf is held at a time
+        for b in batches:
+            out: list[tuple[np.ndarray, ...]] = []
+            for rows in _leaves(b):
+                if held and held[-1].key != rows.key:
+                    out += leaf_links(Rows.joined(held), cosine)
+                    held = []
+                held.append(rows)
+            yield _found(out)
+        yield _found(leaf_links(Rows.joined(held), cosine) if held else [])
 
     named = classes.join(sizes, ["label", "dims"]).select("label", "dims", "vec", "n", "raw", "size")
     filed = named.mapInArrow(file, "label string, dims int, leaf long, vec long, n long, raw binary, leaves array<long>")
     dealt = deal(filed, ["label", "dims", "leaf"], F.col("vec"), HOT)
     columns = ("label", "dims", "leaf", "block", "mine", "vec", "n", "raw", "leaves")
-    return dealt.select(*columns).mapInArrow(compare, "vec long, root long, others long")
-
-
-def leaf_links(rows: pa.Table, cosine: float) -> pa.RecordBatch | None:
-    """Links among one leaf's rows (or one pair of its blocks), each pair counted if this is its first leaf."""
-    dims, leaf, block = (rows.column(c)[0].as_py() for c in ("dims", "leaf", "block"))
-    x = _matrix(rows.column("raw").combine_chunks(), dims)
-    vec, n, mine = (rows.column(c).to_numpy() for c in ("vec", "n", "mine"))
+    return dealt.select(*columns).sortWithinPartitions("label", "dims", "leaf", "block", "vec").mapInArrow(compare, "vec long, root long, others long")
+
+
+@dataclass
+class Rows:
+    """Rows of one leaf (or of one pair of its blocks): their key, vectors, ids, numbers of copies, blocks and leaves."""
+
+    key: tuple  # label, dims, leaf, block
+    x: np.ndarray
+    vec: np.ndarray
+    n: np.ndarray
+    mine: np.ndarray
+    codes: np.ndarray  # (rows, TREES, the most leaves of a tree that a row has), -1 where there are fewer
+
+    @staticmethod
+    def joined(parts: list[Rows]) -> Rows:
+        if len(parts) == 1:
+            return parts[0]
+        wide = max(p.codes.shape[2] for p in parts)
+        codes = [np.pad(p.codes, ((0, 0), (0, 0), (0, wide - p.codes.shape[2])), constant_values=-1) for p in parts]
+        return Rows(parts[0].key, *(np.concatenate([getattr(p, c) for p in parts]) for c in ("x", "vec", "n", "mine")), np.concatenate(codes))
+
+
+def _leaves(batch: pa.RecordBatch) -> Iterator[Rows]:
+    """The leaves of a sorted batch, in order."""
+    if not batch.num_rows:
+        return
+    names = batch.column("label").to_pylist()
+    dims, leaf, block = (batch.column(c).to_numpy() for c in ("dims", "leaf", "block"))
+    label = batch.column("label").dictionary_encode().indices.to_numpy()
+    shape = np.concatenate([[0], np.flatnonzero((dims[1:] != dims[:-1]) | (label[1:] != label[:-1])) + 1, [batch.num_rows]])
+    for low, high in zip(shape[:-1].tolist(), shape[1:].tolist(), strict=True):
+        step = max(1, (8 << 20) // (8 * int(dims[low])))
+        for at in range(low, high, step):
+            part = batch.slice(at, min(step, high - at))
+            x, codes = _matrix(part.column("raw"), int(dims[low])), _codes(part.column("leaves"))
+            vec, n, mine = (part.column(c).to_numpy() for c in ("vec", "n", "mine"))
+            here, which = leaf[at : at + len(vec)], block[at : at + len(vec)]
+            edges = np.concatenate([[0], np.flatnonzero((here[1:] != here[:-1]) | (which[1:] != which[:-1])) + 1, [len(vec)]]).tolist()
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                yield Rows((names[at], int(dims[low]), int(here[a]), int(which[a])), x[a:z], vec[a:z], n[a:z], mine[a:z], codes[a:z])
+
+
+def _codes(lists: pa.Array) -> np.ndarray:
+    """Lists of leaves (tree << 48 | node, ascending) as an array of rows, trees and places."""
+    flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+    row, tree = np.repeat(np.arange(len(lists)), np.diff(offsets)), flat >> 48
+    fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (tree[1:] != tree[:-1])])
+    first = np.flatnonzero(fresh)
+    place = np.arange(len(flat)) - np.repeat(first, np.diff(np.append(first, len(flat))))
+    out = np.full((len(lists), TREES, int(place.max()) + 1), -1, np.int64)
+    out[row, tree, place] = flat
+    return out
+
+
+def _found(links: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    columns = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*links, strict=True) if links else [()] * 3)]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["vec", "root", "others"])
+
+
+def _met_before(codes: np.ndarray, a: np.ndarray, b: np.ndarray, leaf: int) -> np.ndarray:
+    """Whether the rows a and b share a leaf that comes before this one."""
+    out = np.zeros(len(a), bool)
+    for tree in range((leaf >> 48) + 1):
+        left = np.flatnonzero(~out)
+        if not len(left):
+            break
+        one, two = codes[a[left], tree][:, :, None], codes[b[left], tree][:, None, :]
+        out[left] = ((one == two) & (one >= 0) & (one < leaf)).any((1, 2))
+    return out
+
+
+def leaf_links(rows: Rows, cosine: float) -> list[tuple[np.ndarray, ...]]:
+    """(vec, root, others) of one leaf's rows that link, if any; each pair counts if this is its first leaf."""
+    if len(rows.vec) < 2:
+        return []
+    leaf, block = rows.key[2], rows.key[3]
+    x, vec, n, mine = rows.x, rows.vec, rows.n, rows.mine
     x = x / np.abs(x).max(1, keepdims=True)
     norm = np.sqrt((x * x).sum(1))
-    leaves = rows.column("leaves").to_pylist()
-    wide = max(map(len, leaves))
-    codes = np.array([sorted(c) + [-1] * (wide - len(c)) for c in leaves], np.int64)
     low, high = block >> 24, block & ((1 << 24) - 1)
     count, root_a, root_b = np.zeros(len(vec), np.int64), [np.zeros(0, int)], [np.zeros(0, int)]
     for at in range(0, len(vec), 512):
@@ -189,21 +276,17 @@ def leaf_links(rows: pa.Table, cosine: float) -> pa.RecordBatch | None:
             i, j = i[across], j[across]
         for k in range(0, len(i), 100_000):
             a, b = i[k : k + 100_000], j[k : k + 100_000]
-            first = np.full(len(a), np.iinfo(np.int64).max)
-            for column in range(wide):
-                own = codes[a, column]
-                shared = (own >= 0) & (codes[b] == own[:, None]).any(1)
-                first = np.where(shared, np.minimum(first, own), first)
-            once = first == leaf
-            np.add.at(count, a[once], n[b[once]])
-            np.add.at(count, b[once], n[a[once]])
             root_a.append(a)
             root_b.append(b)
-    root = local_roots(len(vec), np.concatenate(root_a), np.concatenate(root_b))
+            once = ~_met_before(rows.codes, a, b, leaf)
+            np.add.at(count, a[once], n[b[once]])
+            np.add.at(count, b[once], n[a[once]])
+    a, b = np.concatenate(root_a), np.concatenate(root_b)
+    if not len(a):
+        return []
+    root = local_roots(len(vec), a, b)
     said = np.flatnonzero((count > 0) | (root != np.arange(len(vec))))
-    if not len(said):
-        return None
-    return pa.RecordBatch.from_arrays([pa.array(vec[said]), pa.array(vec[root[said]]), pa.array(count[said])], names=["vec", "root", "others"])
+    return [(vec[said], vec[root[said]], count[said])]
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
