@@ -43,6 +43,9 @@ _WINDOW = LENGTH - GRAM + 1
 HOT = 4096
 #: Contexts sorted at once: their suffixes' bytes take about 10 MB.
 AT_ONCE = 4000
+#: Bytes of text whose anchors make a bucket: there are as many buckets as the corpus asks for, so a task's memory
+#: does not grow with it.
+BUCKET_BYTES = 64 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _RANDOM = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -283,8 +286,13 @@ def _emit(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two tables of covered places, doc and spans (packed start and length): by class, and by suffix arrays."""
-    n, most = partitions(docs.sparkSession), HOT
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    usual, most = partitions(docs.sparkSession), HOT
+    n = max(usual, -(-size // BUCKET_BYTES))
     keys = _even_keys(docs, n)
+
+    def dealt(df: DataFrame, by: str) -> DataFrame:
+        return df.repartition(n, by) if n > usual else df.repartition(by)
     text = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
 
     def find(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -405,11 +413,11 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     parted, by_doc = "part long, spans binary, wanted binary", "doc long, spans binary, wanted binary"
     filed = text_map(text, find, "bucket long, kind int, blob binary")
-    classes = filed.repartition("bucket").mapInArrow(classify, parted)
-    first = cut(classes.repartition("part").mapInArrow(gather, by_doc))
+    classes = dealt(filed, "bucket").mapInArrow(classify, parted)
+    first = cut(dealt(classes, "part").mapInArrow(gather, by_doc))
     asked = text.join(first.select(F.col("doc").alias("_doc"), "wanted"), F.col("doc") == F.col("_doc"), "left").select("doc", "text", "wanted")
     contexts = asked.mapInArrow(context, "bucket long, kind int, blob binary")
-    second = contexts.repartition("bucket").mapInArrow(suffix_arrays, parted).repartition("part").mapInArrow(gather, by_doc)
+    second = dealt(dealt(contexts, "bucket").mapInArrow(suffix_arrays, parted), "part").mapInArrow(gather, by_doc)
     return first.select("doc", "spans"), second.select("doc", "spans")
 
 
