@@ -4,7 +4,8 @@ A text's features are all byte n-grams (ORDERS) of its lower-cased words with a
 BUCKETS. Every bucket has a learned vector; a text is the mean of its buckets' vectors, and a linear softmax
 over that mean gives the languages' probabilities. Vectors and weights are both fitted by stochastic gradient
 descent on the driver, over a bounded sample of documents of every label: about PER_LANGUAGE of each, fewer if that
-made over ROWS in all, but never under RARE, chosen by a hash of doc_id. A fifth of the sample is kept from training and sets the
+made over ROWS in all, but never under RARE, chosen by a hash of doc_id among texts of LONGEST bytes at most (a label
+that has none so short learns from its shortest). A fifth of the sample is kept from training and sets the
 temperature that makes the probabilities honest and shows what share of n-grams is usual to be known from
 training. A text is rejected if its calibrated probability is under CONFIDENCE, or if it knows less than KNOWN of
 the share that all but a hundredth of the sample do: another language or no language at all.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from fieldglass.llm.common import text_map, utf8_view
 
 ORDERS, BUCKETS, DIMENSIONS = (3, 4), 1 << 18, 16
-PER_LANGUAGE, ROWS, RARE, CONFIDENCE, KNOWN = 400, 20_000, 20, 0.4, 0.6
+PER_LANGUAGE, ROWS, RARE, LONGEST, CONFIDENCE, KNOWN = 400, 20_000, 20, 1 << 16, 0.4, 0.6
 EPOCHS, RATE, SEED = 4, 4.0, 11
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -71,6 +72,11 @@ def subwords(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(hashes)[order].astype(np.int64), sum(edges)
 
 
+def lowered(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased bytes of all texts and their bounds, the same for training and prediction."""
+    return utf8_view(pc.utf8_lower(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -106,8 +112,7 @@ def train(rows: list[tuple[str, str]]) -> Model:
     truth = np.array([number[x] for x, _ in rows])
     features = []
     for _, text in rows:
-        raw = np.frombuffer(text.lower().encode(), np.uint8)
-        buckets, counts = np.unique(subwords(raw, np.array([0, len(raw)]))[0], return_counts=True)
+        buckets, counts = np.unique(subwords(*lowered([text]))[0], return_counts=True)
         features.append((buckets, (counts / max(1, counts.sum())).astype(np.float32)))
     rng = np.random.default_rng(SEED)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
@@ -143,8 +148,7 @@ def train(rows: list[tuple[str, str]]) -> Model:
 
 
 def _calibrated(model: Model, texts: list[str], truth: np.ndarray) -> Model:
-    raw = [np.frombuffer(t.lower().encode(), np.uint8) for t in texts]
-    data, bounds = np.concatenate(raw), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    data, bounds = lowered(texts)
     best, doubt = np.inf, 1 / (len(truth) + 2)
     fitted = 1.0
     for temperature in np.geomspace(0.05, 20, 60):
@@ -177,12 +181,14 @@ def held_out(doc_id) -> F.Column:
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     """About per_language labelled (language, text) of each label, fewer if labels are many; no held-out row."""
     open_ = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = open_.groupBy("lang").count().collect()  # as long as the list of labels
+    size = F.octet_length("text")
+    counts = open_.groupBy("lang").agg(F.count_if(size <= LONGEST).alias("n"), F.min(size).alias("least")).collect()  # as long as the list of labels
     if not counts:
         return []
     each = min(per_language, max(RARE, ROWS // len(counts)))
-    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, each / r["count"])) for r in counts], "lang string, share double")
-    chosen = open_.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, each / max(r.n, 1)), max(r.least, LONGEST)) for r in counts], "lang string, share double, most long")
+    picked = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    chosen = open_.join(F.broadcast(shares), "lang").where((size <= F.col("most")) & picked).drop("share", "most")
     rows = chosen.collect()
     return [(r.lang, r.text) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text))]
 
@@ -202,7 +208,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         if model is None:
             name, score, accepted = ["und"] * n, np.zeros(n), np.zeros(n, bool)
         else:
-            p, known = model.scores(*utf8_view(pc.utf8_lower(text)))
+            p, known = model.scores(*lowered(text))
             score = np.where(letter, p.max(1), 0.0)
             name = [model.languages[k] if a else "und" for k, a in zip(p.argmax(1), letter, strict=True)]
             accepted = letter & (score >= model.least_score) & (known >= model.least_seen)
@@ -225,7 +231,7 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
                 if shared.value is None:
                     keep = np.zeros(len(text), bool)
                 else:
-                    p, known = shared.value.scores(*utf8_view(pc.utf8_lower(text)))
+                    p, known = shared.value.scores(*lowered(text))
                     keep = letter & (p.max(1) >= shared.value.least_score) & (known >= shared.value.least_seen)
                 yield part.filter(pa.array(keep))
 
