@@ -4,8 +4,10 @@ A benchmark item's windows are its runs of WINDOW consecutive normalised words (
 item). The distinct windows form a hash set that is broadcast, filed under each window's longest word: every
 word of a training text probes the set once, and a window found there is verified word for word at the place
 that its longest word has in it. Splitting, generating, probing and verifying run in one code-generated stage;
-only hits are shuffled. The set is broadcast if the benchmark's texts have at most BROADCAST_BYTES bytes, and
-joined by a shuffle on the word beyond.
+only hits are shuffled. The set is broadcast if the benchmark's texts have at most BROADCAST_BYTES bytes. Beyond that
+the hash of every run of a document's words that is as long as some window goes through a shuffle, with its place but
+without any text, and meets the windows' hashes there; hashes that meet are verified word for word with the
+documents that they came from. A hot window's rows may be split by adaptive execution.
 
 Words: A-Z lower-cased, then maximal runs of digits, a-z and anything outside ASCII. Null and empty texts have
 no words; items without words or without an id have no windows. Repeated documents rows are judged each by
@@ -49,7 +51,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     """doc_id, start and stop (word places, stop excluded), items: every occurrence of a window."""
     known = windows(benchmark, window)
     size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    known = F.broadcast(known) if size <= BROADCAST_BYTES else known.hint("shuffle_hash")
+    if size > BROADCAST_BYTES:
+        return _hits_by_hash(docs, known)
+    known = F.broadcast(known)
     each = docs.select(F.col("doc_id"), words(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode("w").alias("at", "word"))
     begin = F.col("at") - F.col("place")
     same = folded(F.array_join(F.slice("w", F.greatest(begin, F.lit(0)) + 1, F.col("length")), " ")) == F.col("gram")
@@ -57,6 +61,27 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     return found.select("doc_id", begin.alias("start"), (begin + F.col("length")).alias("stop"), "items")
 
 
+def _runs(w: Column, length: int) -> Column:
+    """(at, length, hash) of every run of so many words."""
+    places = F.when(F.size(w) >= length, F.sequence(F.lit(0), F.size(w) - length)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(length).alias("length"), F.xxhash64(F.array_join(F.slice(w, i + 1, length), " ")).alias("hash")))
+
+
+def _hits_by_hash(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """hits for a set too large to broadcast."""
+    known = known.select("gram", "length", "items", F.xxhash64("gram").alias("hash"))
+    lengths = sorted(r.length for r in known.select("length").distinct().collect())  # at most the window's length of them
+    each = docs.select(F.col("doc_id"), words(folded(F.col("text"))).alias("w"))
+    if not lengths:
+        return each.where("false").select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("stop"), F.array().cast("array<string>").alias("items"))
+    runs = each.select("doc_id", F.explode(F.concat(*[_runs(F.col("w"), n) for n in lengths])).alias("r")).select("doc_id", "r.*")
+    met = runs.join(known.hint("merge"), ["hash", "length"]).select(F.col("doc_id").alias("met_doc"), "at", "length", "gram", "items")
+    by_doc = met.groupBy("met_doc").agg(F.collect_set(F.struct("at", "length", "gram", "items")).alias("met"))
+    both = each.join(by_doc, F.col("doc_id").eqNullSafe(F.col("met_doc"))).select("doc_id", "w", F.explode("met").alias("m"))
+    proven = both.where(F.array_join(F.slice("w", F.col("m.at") + 1, F.col("m.length")), " ") == F.col("m.gram"))
+    return proven.select("doc_id", F.col("m.at").alias("start"), (F.col("m.at") + F.col("m.length")).alias("stop"), F.col("m.items").alias("items"))
+
+
 def found_in(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document with a hit: doc_id, n_hit, items (sorted strings), spans (sorted start and stop)."""
     by_doc = hits(docs, benchmark, window).groupBy("doc_id").agg(
