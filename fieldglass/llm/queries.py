@@ -139,16 +139,34 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op9_urls"] = r"""
-WITH parts AS (
+WITH RECURSIVE parts AS (
   SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), split AS (
   SELECT page_id, url, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)?', 1) AS query FROM parts
-), rules(verdict, rule_host, rule_path) AS (
+), named AS (
+  SELECT host, path, host || path || query AS a, unnest([
+    regexp_extract(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\brel\s*=\s*["'']?canonical\b') AND regexp_matches(x, '(?is)\bhref\s*='))[1], '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') AND regexp_matches(x, '(?is)\burl\s*='))[1], '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS link
+  FROM split WHERE host <> '' AND html IS NOT NULL
+), targets AS (
+  SELECT a, CASE WHEN instr(link, '://') > 0 THEN substr(link, instr(link, '://') + 3) WHEN starts_with(link, '//') THEN substr(link, 3) WHEN starts_with(link, '/') THEN host || link
+                 WHEN starts_with(link, '?') THEN host || path || link ELSE host || regexp_replace(path, '[^/]*$', '') || link END AS rest
+  FROM named WHERE link <> ''
+), edges AS (
+  SELECT a, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS b FROM targets
+), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT node, b FROM reach JOIN both_ways ON other = a),
+rules(verdict, rule_host, rule_path) AS (
   VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), places AS (
+  SELECT DISTINCT host, path FROM split UNION SELECT regexp_extract(node, '^([^/?#]*)', 1), regexp_extract(node, '^[^/?#]*([^?#]*)', 1) FROM reach
 ), fits AS (
-  SELECT DISTINCT host, path, first(rule_host || rule_path ORDER BY length(rule_host || rule_path) DESC) AS rule, first(verdict ORDER BY length(rule_host || rule_path) DESC) AS own
-  FROM (SELECT DISTINCT host, path FROM split) JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY host, path
+  SELECT host, path, first(rule_host || rule_path ORDER BY length(rule_host || rule_path) DESC) AS rule, first(verdict ORDER BY length(rule_host || rule_path) DESC) AS own
+  FROM places JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY host, path
+), bad AS (
+  SELECT DISTINCT node FROM reach JOIN fits ON regexp_extract(other, '^([^/?#]*)', 1) = host AND regexp_extract(other, '^[^/?#]*([^?#]*)', 1) = path WHERE own = 'block'
 )
-SELECT page_id, host, path, rule, coalesce(own, 'allow') AS verdict FROM split LEFT JOIN fits USING (host, path)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM split LEFT JOIN fits USING (host, path) LEFT JOIN bad ON host <> '' AND host || path || query = node
 """
