@@ -5,7 +5,9 @@ Nothing outside this subpackage imports it.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +21,37 @@ CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share (spark.checkpoint.dir). Where none is set, a temporary one if all runs on this
+    machine, as in tests; on a cluster that is an error, for executors elsewhere would not see it."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if found:
         return found
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="fieldglass-"))
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="fieldglass-"))
     return context.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared one, removed when the driver ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, folder)
+    return folder
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder, if it is there and the session still runs."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    if jvm is None or context is None:
+        return
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone first when the driver ends
+        return
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and forget its lineage."""
     shared_dir(df.sparkSession)

@@ -152,8 +152,7 @@ class Chain:
         """a, b: (..., words); start: the segment each pair's chain begins on, if it is known."""
         x = a ^ b
         if self.anywhere:
-            # Whatever m, the chain from some segment passes for each pair within tau: compare the first
-            # segment's share as the search goes on and leave the rest to the full check.
+            # A pair within tau has a segment whose chain passes; a chain of all m segments is the full check.
             parts = [np.bitwise_count(x & mask).sum(-1, dtype=np.int64) for mask in self.masks]
             passed = np.zeros(x.shape[:-1], bool)
             for i in range(self.m):

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import shared_dir, text_slices, utf8_view
+from fieldglass.llm.common import scratch, text_slices, utf8_view
 from fieldglass.llm.tokenize import encoder
 
 END_ID = 1
@@ -163,5 +163,5 @@ def read(spark: SparkSession, files: list[dict], with_ids: bool = False) -> Data
 
 
 def fresh_folder(spark: SparkSession) -> str:
-    """A new folder name below the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/token-ids-{uuid.uuid4().hex}"
+    """A new folder name below the shared one, removed when the driver ends."""
+    return scratch(spark, "token-ids")
