@@ -16,9 +16,10 @@ A bucket of over HOT rows is cut into blocks of rows; every pair of blocks is it
 whole hot bucket. Inside a group only links of a spanning forest leave the task, found by a breadth-first
 search that compares each newly reached fingerprint with those not reached yet.
 
-With `similar` a link must also hold between the shingle sets themselves: each class carries a sketch (the least
-hash of each of BINS parts of the hash range, one byte of it), whose equal share of filled parts estimates the
-Jaccard similarity within about 0.01. The links of fingerprints then only part the classes into families, which
+With `similar` a link must also hold between the shingle sets themselves: each class carries its set as 32-bit hashes
+if it has at most WHOLE shingles, else a sketch (the least hash of each of BINS parts of the hash range, one byte of
+it), whose equal share of filled parts estimates the Jaccard similarity within about 0.01. Two whole sets are compared
+exactly. The links of fingerprints then only part the classes into families, which
 every link lies within. A family meets with its sketches in one task, and the search compares both fingerprints and
 sketches before a row counts as reached, so a mate that fails takes no row out of the search. A family of over HOT
 rows is filed under its bit samples once more, sketches included, and searched bucket by bucket.
@@ -43,9 +44,9 @@ from fieldglass.llm.common import components, cut, deal, local_roots, text_map
 
 #: Rows of one bucket that a task takes whole.
 HOT = 4096
-#: Parts of a sketch, and how much lower than asked an estimate may be. A family's search sees many pairs below the
-#: threshold, so estimates have to be close: texts of a few hundred words have almost a part for each shingle.
-BINS, SLACK = 2048, 0.01
+#: Shingles of a set that is kept whole; parts of a sketch beyond that, and how much lower than asked its estimate may
+#: be. Whole sets are counted out only if their sketches put them within NEARLY of the threshold.
+WHOLE, BINS, SLACK, NEARLY = 512, 2048, 0.01, 0.05
 #: Longest run of a bucket handled by shifted comparison rather than by search.
 SHORT = 24
 
@@ -86,20 +87,49 @@ def fold(h: np.ndarray, blocks: int = 1) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """BINS bits that tell which parts have a hash, then a byte of 1 to 255 of the least hash of each such part."""
-    mixed = np.sort(_mixed(h, 101))
-    part, first = np.unique(mixed >> np.uint64(53), return_index=True)
+    """A 1 and the sorted distinct 32-bit hashes, if they are few; else a 0, BINS bits that tell which parts have a
+    hash, and a byte of 1 to 255 of the least hash of each such part."""
+    mixed = np.unique((_mixed(h, 101) >> np.uint64(32)).astype("<u4"))
+    if len(mixed) <= WHOLE:
+        return b"\1" + mixed.tobytes()
+    filled, least = _parts(mixed)
+    return b"\0" + np.packbits(filled).tobytes() + least.tobytes()
+
+
+def _parts(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which parts sorted hashes fill, and the byte of each one's least."""
+    part = mixed >> np.uint32(21)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(part)), bool), part[1:] != part[:-1]]))
     filled = np.zeros(BINS, bool)
-    filled[part.astype(np.int64)] = True
-    return np.packbits(filled).tobytes() + (mixed[first] % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
-
-
-def opened(sketches: list[bytes]) -> np.ndarray:
-    """A row of BINS bytes for each sketch, 0 for empty parts."""
-    out, head = np.zeros((len(sketches), BINS), np.uint8), BINS // 8
-    filled = np.unpackbits(np.frombuffer(b"".join(s[:head] for s in sketches), np.uint8).reshape(-1, head), axis=1).astype(bool)
-    out[filled] = np.frombuffer(b"".join(s[head:] for s in sketches), np.uint8)
-    return out
+    filled[part[first]] = True
+    return filled, (mixed[first] % np.uint32(255) + np.uint32(1)).astype(np.uint8)
+
+
+class Sketches:
+    """Sketches side by side: a row of BINS bytes for each, 0 for empty parts, and the sets that are whole."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.rows = np.zeros((len(sketches), BINS), np.uint8)
+        self.whole: list[np.ndarray | None] = []
+        for k, s in enumerate(sketches):
+            hashes = np.frombuffer(s, "<u4", offset=1) if s[:1] == b"\1" else None
+            self.whole.append(hashes)
+            filled, least = _parts(hashes) if hashes is not None else (np.unpackbits(np.frombuffer(s, np.uint8, BINS // 8, 1)).astype(bool), np.frombuffer(s, np.uint8, offset=1 + BINS // 8))
+            self.rows[k, filled] = least
+
+    def alike(self, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+        """Whether the rows a[i] and b[i] have this Jaccard similarity."""
+        out = np.zeros(len(a), bool)
+        for at in range(0, len(a), 4096):
+            some = slice(at, at + 4096)
+            near = similarity(self.rows[a[some]], self.rows[b[some]])
+            out[some] = near >= least - SLACK
+            for k in np.flatnonzero(np.abs(near - least) <= NEARLY).tolist():
+                x, y = self.whole[a[at + k]], self.whole[b[at + k]]
+                if x is not None and y is not None:
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    out[at + k] = both >= least * (len(x) + len(y) - both)
+        return out
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -248,14 +278,11 @@ def _compared(dealt: DataFrame, words: int, chain: Chain, least: float | None =
             key, block, doc, fp = key[order], block[order], doc[order], fp[order]
             alike = None
             if least is not None:
-                sketches = opened(rows.column("sketch").to_pylist())[order]
+                column = rows.column("sketch").to_pylist()
+                sketches = Sketches([column[i] for i in order.tolist()])
 
                 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                    out = np.zeros(len(a), bool)
-                    for at in range(0, len(a), 4096):
-                        some = slice(at, at + 4096)
-                        out[some] = similarity(sketches[a[some]], sketches[b[some]]) >= least - SLACK
-                    return out
+                    return sketches.alike(a, b, least)
 
             group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
             a, b = bucket_links(group, key >> 48, fp, chain, alike)
@@ -336,8 +363,8 @@ def groups(docs: DataFrame, k: int = 3, blocks: int = 1, tau: int = 2, m: int =
 
 
 #: The stage's own setting: five-word shingles of similarity 0.8. Such texts differ in 0.151 of the bits on average;
-#: bands are laid out for 0.164, the full check admits 0.2, and the sketches decide.
-NEAR = {"k": 5, "blocks": 4, "tau": 52, "m": 4, "recall": 0.93, "reach": 42, "similar": 0.8}
+#: bands are laid out for 0.164, the full check admits 0.22, and the sets decide.
+NEAR = {"k": 5, "blocks": 4, "tau": 56, "m": 4, "recall": 0.93, "reach": 42, "similar": 0.8}
 
 
 def deduplicate(docs: DataFrame, **setting) -> DataFrame:
