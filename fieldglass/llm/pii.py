@@ -92,8 +92,9 @@ WORDS_TOO = frozenset("Mark Rosa Carmen".split())
 _TITLE = "|".join(sorted(map(re.escape, MALE_TITLES + FEMALE_TITLES + OTHER_TITLES), key=len, reverse=True))
 _NAME = r"[^\W\d_][^\W\d_'’-]*(?:['’-][^\W\d_]+)*"
 _UPPER = r"(?=[A-ZÀ-ÖØ-ÞŠŽА-ЯЁΑ-ΩΆ-Ώ])"
-_GIVEN = "|".join(sorted(set(_KNOWN) - WORDS_TOO, key=len, reverse=True))
-_FAMILY = rf"\s(?!(?:{'|'.join(sorted(FUNCTION_WORDS))})\b){_UPPER}{_NAME}"
+#: Two words that begin with capitals; and the second, if it may be a family name.
+_PAIR = re.compile(r"([A-ZÀ-ÖØ-ÞŠŽА-ЯЁΑ-ΩΆ-Ώ](?<!\w.)\w+)\s(?=[A-ZÀ-ÖØ-ÞŠŽА-ЯЁΑ-ΩΆ-Ώ])", re.S)
+_FAMILY = re.compile(rf"{_NAME}(?!\w)")
 PATTERN = re.compile(
     "|".join(
         [
@@ -105,12 +106,11 @@ PATTERN = re.compile(
             r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
             r"(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))",
             rf"(?P<person>\b(?P<title>{_TITLE})\b\.?\s(?P<names>{_UPPER}{_NAME}(?:\s{_UPPER}{_NAME}){{0,2}}))",
-            rf"(?P<named>\b(?:{_GIVEN}){_FAMILY}(?!\w))",
         ]
     )
 )
 _PREFIXED = re.compile(r"(?:AKIA|ASIA)(?=[A-Z0-9]{16}$)|(?:sk|pk|ghp|gho|xox[bp])[-_](?=.)")  # what names a key's kind stays
-KINDS = ("secret", "email", "iban", "ip", "phone", "ssn", "card", "person", "named")
+KINDS = ("secret", "email", "iban", "ip", "phone", "ssn", "card", "person")
 
 
 def _random(key: bytes, *parts: object) -> int:
@@ -322,13 +322,19 @@ def _matches(text: str) -> Iterator[tuple[int, int, str, str, str | None]]:
         kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k] is not None)
         part = {"secret": "value" if m["value"] else "secret", "person": "names"}.get(kind, kind)
         a, z = m.span(part)
-        kind = "person" if kind == "named" else kind
         entity = canonical(kind, m[part])
         at = max(z, m.start() + 1) if entity is not None else m.start() + 1
         if entity is not None:
             yield a, z, kind, entity, m["title"]
 
 
+def _given(text: str) -> Iterator[tuple[int, int, str, str, str | None]]:
+    """Persons named by a known given name and a family name, as _matches has them."""
+    for m in _PAIR.finditer(text):
+        if m[1] in _KNOWN and m[1] not in WORDS_TOO and (f := _FAMILY.match(text, m.end())) and f[0] not in FUNCTION_WORDS:
+            yield m.start(), f.end(), "person", canonical("person", text[m.start() : f.end()]), None
+
+
 def _bare(text: str, names: set[str]) -> re.Pattern | None:
     """A pattern of the names and of their words that may stand alone."""
     words = {w for name in names for w in name.split(" ")}
@@ -348,6 +354,9 @@ def mentions(text: str, cards: str = "any") -> Iterator[tuple[int, int, str, str
     cards: `any` number as long as a payment card's, or only `valid` ones, whose check digit holds.
     """
     found = [x for x in _matches(text) if x[2] != "card" or cards == "any" or luhn(x[3])]
+    if more := list(_given(text)):
+        spans = [(a, z) for a, z, *_ in found]
+        found = sorted([*found, *(x for x in more if not any(a < x[1] and x[0] < z for a, z in spans))], key=lambda x: x[0])
     names = {entity for _, _, kind, entity, _ in found if kind == "person"}
     if not names:
         yield from (x[:4] for x in found)
