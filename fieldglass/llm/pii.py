@@ -315,10 +315,50 @@ def surrogate(kind: str, entity: str, key: bytes | None = None, attempt: int = 0
     return _letters(key, "secret", entity)
 
 
+# Where a match of PATTERN may begin, told by what each kind can't do without; all begin with one character to scan for.
+_FIRSTS = sorted({t[0] for t in MALE_TITLES + FEMALE_TITLES + OTHER_TITLES})
+_TITLE_START = re.compile("|".join(rf"{c}(?<!\w.)(?:{'|'.join(re.escape(t[1:]) for t in MALE_TITLES + FEMALE_TITLES + OTHER_TITLES if t[0] == c)})\b\.?\s" for c in _FIRSTS))
+_NUMBER_START = re.compile(r"[\d+(](?<!\w.)(?=[\da-fA-F .()-]{5})")  # ip, phone, ssn, card, hexadecimal digits
+_CAPITAL_START = re.compile(r"[A-Z](?<!\w.)(?:[A-Z]\d\d|(?<=A)(?:KIA|SIA)[A-Z0-9])")  # iban, access keys
+_HEX_START = re.compile(r"[a-fA-F](?<!\w.)[0-9a-fA-F]{31}")
+_PREFIXES = tuple(name + mark for name in ("sk", "pk", "ghp", "gho", "xoxb", "xoxp") for mark in "-_")
+_PREFIX_START = re.compile(r"[spgx](?<!\w.)(?=(?:k|hp|ho|ox[bp])[-_][A-Za-z0-9_-]{16})")
+_ASSIGNED = re.compile("[:=]")
+_KEYWORD = re.compile(r"\b(?i:token|api[_-]?key|secret|password|passwd|pwd|access[_-]?key|auth[_-]?key|private[_-]?key)\b\s{0,3}\Z")
+_KEYWORD_CHARS = 16  # the longest keyword, three blanks, and more than one character before
+
+
+def _local_part(text: str, at: int) -> int:
+    """Where the run of an address's characters begins that ends before text[at]."""
+    while at and (text[at - 1].isalnum() or text[at - 1] in "_.+%-"):
+        at -= 1
+    return at
+
+
+def _starts(text: str) -> list[int]:
+    """Ascending places that hold every start of a match of PATTERN, and few others: linear in the text."""
+    found = {m.start() for p in (_TITLE_START, _NUMBER_START, _CAPITAL_START) for m in p.finditer(text)}
+    if max(map(len, text.split()), default=0) >= 32:
+        found |= {m.start() for m in _HEX_START.finditer(text)}
+    if any(x in text for x in _PREFIXES):
+        found |= {m.start() for m in _PREFIX_START.finditer(text)}
+    for m in _ASSIGNED.finditer(text):
+        a = max(0, m.start() - _KEYWORD_CHARS)
+        if k := _KEYWORD.search(text[a : m.start()]):
+            found.add(a + k.start())
+    at = text.find("@")
+    while at >= 0:
+        found.add(_local_part(text, at))
+        at = text.find("@", at + 1)
+    return sorted(found)
+
+
 def _matches(text: str) -> Iterator[tuple[int, int, str, str, str | None]]:
     """(start, end, kind, canonical form, form of address) of every match of PATTERN that is an entity."""
     at = 0
-    while m := PATTERN.search(text, at):
+    for start in _starts(text):
+        if start < at or not (m := PATTERN.match(text, start)):
+            continue
         kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k] is not None)
         part = {"secret": "value" if m["value"] else "secret", "person": "names"}.get(kind, kind)
         a, z = m.span(part)

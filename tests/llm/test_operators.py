@@ -573,3 +573,19 @@ def test_query_equals_sql(spark, name):
     order, want = sorted(columns), found.fetchall()
     rows = queries.QUERIES[name](spark, data).collect()
     assert sorted(repr(tuple(r[c] for c in order)) for r in rows) == sorted(repr(tuple(dict(zip(columns, r, strict=True))[c] for c in order)) for r in want)
+
+
+def test_entity_starts_are_all_found():
+    """Every place where PATTERN matches, searched from each place on, is among the candidate starts."""
+    bits = (
+        "token password: api_key = API-KEY auth-key:x private_key=' sk- ghp_ xoxb- AKIA ASIA ABCDEFGHIJ0123456789 deadbeef 0123456789abcdef0123456789abcdef DE89 3704 0044 0532 00 10.0.0.1 "
+        "192.168.1.1 +49 (030) 555 123-45-6789 4111 1111 - . @ a.b mail.de ann+x % _ Mr Mrs. Dr Frau г-н Господин Κύριος Σ John Петров İ ſecret: １２３ ٣ , ; é 中文 x 1 = : \" ſk- toKen=abcdefg"
+    ).split(" ")
+    draw = random.Random(7)
+    for _ in range(4000):
+        text = "".join(draw.choice(bits) + draw.choice(["", "", " ", "  ", "-", ".", "\n"]) for _ in range(draw.randint(0, 25)))
+        want, at = set(), 0
+        while m := pii.PATTERN.search(text, at):
+            want.add(m.start())
+            at = m.start() + 1
+        assert want <= set(pii._starts(text)), text
