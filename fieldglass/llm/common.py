@@ -6,6 +6,8 @@ Nothing outside this subpackage imports it.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,6 +21,9 @@ from pyspark.sql import functions as F
 #: Bytes of text handled at once by the vectorised kernels; bounds a Python worker's memory.
 CHUNK_BYTES = 2 << 20
 
+#: What an operator keeps in a Python worker from task to task. A worker serves all operators in turn.
+KEPT: dict = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir). Where none is set, a temporary one if all runs on this
@@ -62,6 +67,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def let_go() -> None:
+    """Begins a task of an operator that keeps nothing: what others kept in this worker goes, and memory that is free goes
+    back to the system, as far as the C library can give it."""
+    KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch whose texts take about `limit` bytes; one long text stands alone."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
@@ -89,6 +103,7 @@ def text_map(docs: DataFrame, kernel, schema: str, column: str = "text", limit:
     """Apply `kernel(record batch) -> record batch` to slices of bounded text size, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in text_slices(batch, column, limit):
                 yield kernel(part)

@@ -12,7 +12,7 @@ the share that all but a hundredth of the sample do: another language or no lang
 
 For prediction vectors and weights are multiplied once if there are at most DIMENSIONS languages, and after the mean
 otherwise, so a broadcast table of at most BUCKETS x DIMENSIONS is all a task needs; the kernel takes every byte of
-every text.
+every text, by portions.
 
 Defined results: null texts and texts without a letter are `und`, score 0, rejected; with no labelled row
 everything is `und`. Ties go to the first language in order of name. Extra columns don't matter.
@@ -20,6 +20,7 @@ everything is `und`. Ties go to the first language in order of name. Extra colum
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,48 +29,71 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import text_map, utf8_view
+from fieldglass.llm.common import let_go, text_map, text_slices, utf8_view
 
 ORDERS, BUCKETS, DIMENSIONS = (3, 4), 1 << 18, 16
 PER_LANGUAGE, ROWS, RARE, LONGEST, CONFIDENCE, KNOWN = 400, 20_000, 20, 1 << 16, 0.4, 0.6
 EPOCHS, RATE, SEED = 4, 4.0, 11
+#: Bytes whose n-grams are looked up at once; they take some sixty times as much memory.
+PORTION = 1 << 18
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[b for b in range(128) if not 97 <= b <= 122]] = 32
 
 
-def subwords(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all texts' n-grams in order of place, and each text's bounds there; data is lower-cased UTF-8."""
+def _padded(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Folded bytes with a blank before each text and one after the last, so that words at the ends have borders, and
+    the places of those blanks."""
     n = len(bounds) - 1
-    # One blank before each text and one after the last, so that words at the ends have borders.
     padded = np.full(len(data) + n + 1, 32, np.uint8)
     shifted = bounds + np.arange(n + 1)
     place = np.ones(len(padded), bool)
     place[shifted] = False
     padded[place] = _FOLD[data]
-    blank = padded == 32
-    wide = padded.astype(np.uint32)
+    return padded, shifted
+
+
+def _portions(starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Consecutive portions, as numbers of texts and as places: whole texts that have PORTION bytes together at most, or
+    so many bytes of a longer one."""
+    k = 0
+    while k < len(starts) - 1:
+        to = max(k + 1, int(np.searchsorted(starts, starts[k] + PORTION, side="right")) - 1)
+        for at in range(int(starts[k]), int(starts[to]), PORTION):
+            yield k, to, at, min(at + PORTION, int(starts[to]))
+        k = to
+
+
+def _grams(padded: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams that begin at places begin to end, in order of place, and their places."""
+    some = padded[begin : end + max(ORDERS) - 1]
+    blank = some == 32
+    wide = some.astype(np.uint32)
     hashes, where = [], []
     code, inner = wide[:-1] * np.uint32(0x01000193) + wide[1:], None
     for order in range(3, max(ORDERS) + 1):
-        count = len(padded) - order + 1
+        count = len(some) - order + 1
         if count <= 0:
             break
         code = code[:count] * np.uint32(0x01000193) + wide[order - 1 :]
         inner = ~blank[1 : 1 + count] if order == 3 else inner[:count] & ~blank[order - 2 : order - 2 + count]
         if order in ORDERS:
-            at = np.flatnonzero(inner)
+            at = np.flatnonzero(inner[: end - begin])
             h = code[at] * np.uint32(0x9E3779B1)
             hashes.append((h ^ (h >> np.uint32(15))) % np.uint32(BUCKETS))
             where.append(at)
     if not hashes:
-        return np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
-    edges = [np.searchsorted(w, shifted) for w in where]
-    if len(hashes) == 1:
-        return hashes[0].astype(np.int64), edges[0]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.concatenate(where)
     order = np.argsort(at, kind="stable")
-    return np.concatenate(hashes)[order].astype(np.int64), sum(edges)
+    return np.concatenate(hashes)[order].astype(np.int64), at[order] + begin
+
+
+def subwords(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all texts' n-grams in order of place, and each text's bounds there; data is lower-cased UTF-8."""
+    padded, starts = _padded(data, bounds)
+    buckets, at = _grams(padded, 0, len(padded))
+    return buckets, np.searchsorted(at, starts)
 
 
 def lowered(texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,13 +116,16 @@ class Model:
         """Probabilities per text and the share of its n-grams that training had seen."""
         n = len(bounds) - 1
         sums, known, total = np.zeros((n, self.table.shape[1])), np.zeros(n), np.zeros(n)
-        buckets, edges = subwords(data, bounds)
-        full = np.flatnonzero(edges[1:] > edges[:-1])
-        if len(full):
-            for column in range(self.table.shape[1]):
-                sums[full, column] = np.add.reduceat(self.table[:, column][buckets], edges[full], dtype=np.float64)
-            known[full] = np.add.reduceat(self.seen[buckets], edges[full], dtype=np.float64)
-            total = np.diff(edges).astype(float)
+        padded, starts = _padded(data, bounds)
+        for first, last, begin, end in _portions(starts):
+            buckets, at = _grams(padded, begin, end)
+            edges = np.searchsorted(at, np.clip(starts[first : last + 1], begin, end))
+            full = np.flatnonzero(edges[1:] > edges[:-1])
+            if len(full):
+                for column in range(self.table.shape[1]):
+                    sums[first + full, column] += np.add.reduceat(self.table[:, column][buckets], edges[full], dtype=np.float64)
+                known[first + full] += np.add.reduceat(self.seen[buckets], edges[full], dtype=np.float64)
+                total[first:last] += np.diff(edges)
         mean = sums / np.maximum(total, 1)[:, None]
         logits = ((mean if self.weights is None else mean @ self.weights) + self.bias) / self.temperature
         p = np.exp(logits - logits.max(1, keepdims=True))
@@ -222,8 +249,7 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        from fieldglass.llm.common import text_slices
-
+        let_go()
         for batch in batches:
             for part in text_slices(batch, "text"):
                 text = part.column("text").fill_null("")

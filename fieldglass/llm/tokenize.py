@@ -15,6 +15,8 @@ import os
 
 import numpy as np
 
+from fieldglass.llm.common import KEPT
+
 #: Slots of a worker's table (a power of two), the pieces it holds before it starts anew, and the bytes read at once
 #: (more only for a single longer piece); a portion has fewer pieces than the table holds.
 SLOTS, REMEMBERED, PORTION = 1 << 22, 1_500_000, 1 << 20
@@ -214,12 +216,9 @@ class PieceEncoder:
         return np.fromiter((i for x in coded for i in x), np.uint32, int(total[-1])), total
 
 
-_OPEN: dict[tuple[str, bool, bool], PieceEncoder] = {}
-
-
 def encoder(path: str, drop_blank: bool = False, added: bool = False) -> PieceEncoder:
-    """This Python worker's encoder for a file; kept from task to task."""
-    key = (path, drop_blank, added)
-    if key not in _OPEN:
-        _OPEN[key] = PieceEncoder(*key)
-    return _OPEN[key]
+    """This Python worker's encoder for a file; kept from task to task until one of another operator comes."""
+    key = ("encoder", path, drop_blank, added)
+    if key not in KEPT:
+        KEPT[key] = PieceEncoder(*key[1:])
+    return KEPT[key]

@@ -5,6 +5,9 @@ import os
 import random
 import re
 import time
+import tracemalloc
+import types
+import weakref
 
 import duckdb
 import numpy as np
@@ -189,6 +192,46 @@ def test_long_texts_stay_out_of_the_sample(spark, monkeypatch):
     assert {lang for lang, _ in found} == {"a", "b"} and max(len(t) for lang, t in found if lang == "a") <= 100 and len({t for lang, t in found if lang == "b"}) == 1
 
 
+@pytest.fixture(scope="module")
+def two_languages():
+    rng = random.Random(31)
+    stock = {"aa": ["bana", "mora", "tilu", "sena"], "bb": ["kritz", "vrost", "gnalk", "pfünd"]}
+    return langid.train([(lang, " ".join(rng.choice(stock[lang]) for _ in range(30))) for lang in ["aa", "bb"] * 40])
+
+
+@pytest.mark.parametrize("texts", [["bana kritz, mora vrost. " * 1400] * 64, ["bana kritz, mora vrost. " * 90_000]])
+def test_scoring_takes_little_memory(two_languages, texts):
+    data, bounds = langid.lowered(texts)  # about the 2 MB that a kernel gets at once
+    tracemalloc.start()
+    two_languages.scores(data, bounds)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+
+
+@pytest.mark.parametrize("portion", [1, 2, 5, 64, 1000])
+def test_portions_of_texts_score_like_whole_texts(two_languages, monkeypatch, portion):
+    texts = ["bana kritz", "", None, "a", "é", "pfünd, vrost! " * 40, "banamoratilu" * 60, " ", "Tilu", None]
+    data, bounds = langid.lowered(pa.array(texts, pa.string()))
+    buckets, edges = langid.subwords(data, bounds)
+    seen = [two_languages.seen[buckets[a:b]].mean() if b > a else 0 for a, b in zip(edges, edges[1:])]
+    want = two_languages.scores(data, bounds)
+    monkeypatch.setattr(langid, "PORTION", portion)
+    found = two_languages.scores(data, bounds)
+    assert np.allclose(found[0], want[0], atol=1e-12) and (found[1] == want[1]).all() and np.allclose(found[1], seen)
+    assert two_languages.scores(*langid.lowered(pa.array([], pa.string())))[0].shape == (0, 2)
+
+
+@pytest.mark.parametrize("stage", [lambda docs: langid.keep_identified(docs, None), lambda docs: common.text_map(docs, lambda part: part, "text string")])
+def test_workers_do_not_keep_the_tokens_of_another_operator(stage):
+    context = types.SimpleNamespace(broadcast=lambda model: types.SimpleNamespace(value=model))
+    docs = types.SimpleNamespace(sparkSession=types.SimpleNamespace(sparkContext=context), schema=None, mapInArrow=lambda run, schema: run)
+    kept = weakref.ref(tokenize.encoder(public_tokenizers.path("byte_bpe_50k.json")))
+    assert kept() is tokenize.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert len(list(stage(docs)(iter([pa.RecordBatch.from_pydict({"text": ["some", None]})])))) == 1
+    assert kept() is None
+
+
 # Decontamination beyond a broadcast.
 def test_a_set_too_large_to_broadcast(spark, monkeypatch):
     rng = random.Random(3)
